@@ -1,4 +1,94 @@
 """Queries of the language-model problems and their oracles."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cinderloom.llm.pairs import broken_pairs
+from cinderloom.llm.sampling import category_candidates, proportional_sample, sampling_report
+from cinderloom.sources.tables import table
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rollouts = table(spark, sf_dir, "rollouts")
+    texts = F.array(
+        F.struct(F.lit("response").alias("field_name"), F.col("response").alias("text")),
+        F.struct(F.lit("ground_truth").alias("field_name"), F.col("ground_truth").alias("text")),
+    )
+    both = rollouts.select(
+        F.explode(texts).alias("_t"), F.col("row_id").alias("row_key"), "problem_type", F.col("problem").alias("question"), "prompt"
+    ).select("_t.field_name", "row_key", "problem_type", "question", "prompt", "_t.text")
+    answers = table(spark, sf_dir, "records").select(
+        F.lit("answer").alias("field_name"),
+        F.col("pos").alias("row_key"),
+        "problem_type",
+        F.lit(None).cast("string").alias("question"),
+        "prompt",
+        F.col("answer").alias("text"),
+    )
+    return both.unionByName(answers)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return broken_pairs(_pairs(spark, sf_dir))
+
+
+def _category_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record and category field: ``item`` is metadata.id of valid metadata."""
+    meta = table(spark, sf_dir, "records").select("pos", "problem_type", F.try_parse_json("metadata").alias("m"))
+    fields = F.array(
+        *[
+            F.struct(F.lit(name).alias("field_name"), value.alias("category"))
+            for name, value in (
+                ("domain_l1", F.try_variant_get("m", "$.domain_l1", "string")),
+                ("domain_l2", F.try_variant_get("m", "$.domain_l2", "string")),
+                ("problem_type", F.col("problem_type")),
+            )
+        ]
+    )
+    return (
+        meta.select("pos", F.try_variant_get("m", "$.id", "string").alias("item"), F.explode(fields).alias("f"))
+        .select("pos", "item", "f.field_name", "f.category")
+    )
+
+
+def _candidates(spark: SparkSession, sf_dir: str, targets: DataFrame) -> DataFrame:
+    return category_candidates(_category_items(spark, sf_dir), targets, seed=7)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_report(spark, sf_dir).where("deficit > 0").select("plan_id", "category")
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every target with available, taken and missing rows."""
+    targets = table(spark, sf_dir, "sample_targets")
+    return sampling_report(_candidates(spark, sf_dir, targets), targets)
+
+
+def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn records of each plan."""
+    targets = table(spark, sf_dir, "sample_targets")
+    return proportional_sample(_candidates(spark, sf_dir, targets), targets)
+
+
+_P3 = """with t as (select plan_id, sample_size, field_name, regexp_replace(lower(trim(category)), '[\\s-]+', '_', 'g') as category, target_share,
+greatest(coalesce(min_rows, 0), cast(ceil(round(sample_size * target_share, 6)) as bigint)) as need from sample_targets),
+m as (select pos, problem_type, metadata::json as j from records where json_valid(metadata)),
+i as (select pos, j->>'id' as item, 'domain_l1' as field_name, j->>'domain_l1' as category from m union all select pos, j->>'id', 'domain_l2', j->>'domain_l2' from m
+union all select pos, j->>'id', 'problem_type', problem_type from m),
+c as (select plan_id, t.category, item, min(pos) as pos from t join (select pos, item, field_name, regexp_replace(lower(trim(category)), '[\\s-]+', '_', 'g') as category from i where item is not null) i
+on t.field_name = i.field_name and t.category = i.category group by all),
+a as (select plan_id, category, count(*) as available from c group by all),
+report as (select t.plan_id, t.category, target_share, need, coalesce(available, 0) as available, least(need, coalesce(available, 0)) as taken, greatest(need - coalesce(available, 0), 0) as deficit
+from t left join a on t.plan_id = a.plan_id and t.category = a.category)
+"""
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample}
+SQL = {
+    "p3_found": _P3 + "select plan_id, category from report where deficit > 0",
+    "p3_report": _P3 + "select * from report",
+    "p3_sample": _P3 + """select plan_id, category, item, pos from (select c.*, need, row_number() over (partition by c.plan_id, c.category
+order by ('0x' || substr(md5('7:' || c.plan_id || ':' || item), 1, 8))::bigint, item) as r from c join t on c.plan_id = t.plan_id and c.category = t.category) where r <= need""",
+}
