@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderloom.llm.overlap import split_overlaps
 from cinderloom.llm.pairs import broken_pairs
 from cinderloom.llm.sampling import category_candidates, proportional_sample, sampling_report
 from cinderloom.sources.tables import table
@@ -73,6 +74,33 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proportional_sample(_candidates(spark, sf_dir, targets), targets)
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlaps(table(spark, sf_dir, "records"), table(spark, sf_dir, "data_config"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        _overlaps(spark, sf_dir)
+        .select(F.least("eval_pos", "train_pos").alias("pos_a"), F.greatest("eval_pos", "train_pos").alias("pos_b"))
+        .distinct()
+    )
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping pairs and evaluation records per evaluation file and metadata.source."""
+    source = table(spark, sf_dir, "records").select(
+        F.col("pos").alias("eval_pos"), F.try_variant_get(F.try_parse_json("metadata"), "$.source", "string").alias("source")
+    )
+    return (
+        _overlaps(spark, sf_dir)
+        .groupBy("eval_file", "eval_pos")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .join(source, "eval_pos", "left")
+        .groupBy("eval_file", F.coalesce("source", F.lit("unknown")).alias("source"))
+        .agg(F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_eval_records"))
+    )
+
+
 _P3 = """with t as (select plan_id, sample_size, field_name, regexp_replace(lower(trim(category)), '[\\s-]+', '_', 'g') as category, target_share,
 greatest(coalesce(min_rows, 0), cast(ceil(round(sample_size * target_share, 6)) as bigint)) as need from sample_targets),
 m as (select pos, problem_type, metadata::json as j from records where json_valid(metadata)),
@@ -85,7 +113,7 @@ report as (select t.plan_id, t.category, target_share, need, coalesce(available,
 from t left join a on t.plan_id = a.plan_id and t.category = a.category)
 """
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p4_found": p4_found, "p4_report": p4_report}
 SQL = {
     "p3_found": _P3 + "select plan_id, category from report where deficit > 0",
     "p3_report": _P3 + "select * from report",
