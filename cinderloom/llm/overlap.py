@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderloom.llm.text import let, visible, words
+from cinderloom.session import ensure_checkpoint_dir
 
 EDITS = 4
 SPAN_SECONDS = 2.0
-CLASS = ["video", "span_start", "span_end", "digest"]
+COMMON_WORDS = 200
 
 _CLIP = r"^(.+?)[_-](\d+(?:\.\d+)?)[_-](\d+(?:\.\d+)?)(?:\.[a-z][a-z0-9]*)?$"
 
@@ -124,29 +125,38 @@ def file_pairs(files: DataFrame, configs: DataFrame) -> DataFrame:
     return val.join(train, "config_name").where("eval_file <> train_file").select("eval_file", "train_file").distinct()
 
 
-def _signatures(classes: DataFrame) -> DataFrame:
-    """Blocking signatures of question classes, exact for up to EDITS word edits.
+def common_words(bags: DataFrame, most: int = COMMON_WORDS) -> list[str]:
+    """The words that occur most often in ``bags(bag)``, rarest first; at most ``most`` of them reach the driver."""
+    counts = bags.select(F.explode("bag").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("f"))
+    return [r["w"] for r in counts.orderBy(F.desc("f"), "w").limit(most).collect()][::-1]
 
-    Two bags within EDITS edits share all but EDITS words of the larger. With the words of each bag
-    ordered by rarity within the video, their first EDITS + 2 words then share at least two, so a pair of words
-    is the signature. Bags of at most EDITS + 1 words may share just one word, or none: those also get
-    single words, and up to EDITS words a signature that all share.
+
+def signatures(bag: Column, common: list[str]) -> Column:
+    """Blocking signatures of a bag of words, exact for up to EDITS word edits.
+
+    Two bags within EDITS edits share all but EDITS words of the larger. With the words of each bag in
+    one order (words outside ``common`` first, by hash, then the common ones from rare to frequent) their
+    first EDITS + 2 words then share at least two, so the signature is a pair of words. Bags of at most
+    EDITS + 1 words may share just one word, or none: those also get single words, and up to EDITS
+    words a signature that all share.
     """
-    spread = classes.select(*CLASS, F.explode("bag").alias("w"))
-    frequency = spread.groupBy("video", "w").agg(F.count(F.lit(1)).alias("f"))
-    first = (
-        spread.join(frequency, ["video", "w"])
-        .groupBy(*CLASS)
-        .agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("o"))
-        .select(*CLASS, F.size("o").alias("n"), F.transform(F.slice("o", 1, EDITS + 2), lambda x: x["w"]).alias("p"))
+    known = F.array(*[F.lit(w) for w in common]) if common else F.expr("cast(array() as array<string>)")
+    ranked = F.array_sort(
+        F.transform(bag, lambda w: F.struct(F.array_position(known, w).alias("r"), F.xxhash64(w).alias("h")))
     )
-    pairs = F.flatten(
-        F.transform("p", lambda x, i: F.transform(F.slice("p", i + F.lit(2), EDITS + 2), lambda y: F.concat_ws(" ", x, y)))
-    )
-    none = F.expr("cast(array() as array<string>)")
-    short = F.when(F.col("n") <= EDITS + 1, F.col("p")).otherwise(none)
-    tiny = F.when(F.col("n") <= EDITS, F.array(F.lit(""))).otherwise(none)
-    return first.select(*CLASS, F.explode(F.concat(pairs, short, tiny)).alias("sig"))
+
+    def of(p: Column) -> Column:
+        pairs = F.flatten(
+            F.transform(
+                p, lambda x, i: F.transform(F.slice(p, i + F.lit(2), EDITS + 2), lambda y: F.xxhash64(x["h"], y["h"]))
+            )
+        )
+        none = F.expr("cast(array() as array<bigint>)")
+        short = F.when(F.size(bag) <= EDITS + 1, F.transform(p, lambda x: x["h"])).otherwise(none)
+        tiny = F.when(F.size(bag) <= EDITS, F.array(F.lit(0).cast("long"))).otherwise(none)
+        return F.concat(pairs, short, tiny)
+
+    return let(F.slice(ranked, 1, EDITS + 2), of)
 
 
 def split_overlaps(records: DataFrame, configs: DataFrame) -> DataFrame:
@@ -155,24 +165,27 @@ def split_overlaps(records: DataFrame, configs: DataFrame) -> DataFrame:
 
     ``records(pos, data_file, prompt, metadata, videos)``. Spans may differ by SPAN_SECONDS at each end
     and questions by EDITS words. Rows without a readable clip or without a word in the prompt match
-    nothing; repeated rows match each on their own. Only rows of clips that lie on both sides are looked at further.
-    Canonicalised records are hashed into classes, so
-    copies are compared once; classes meet through the video, the span's start to the nearest cells,
-    and signatures, are verified exactly, and only then expand into pairs of records.
+    nothing; repeated rows match each on their own. Only rows of clips that lie on both sides are looked
+    at further. Canonicalised records are hashed into classes, so copies are compared once; classes
+    meet through the video, the span's start to the nearest cells, and signatures, are verified exactly,
+    and only then expand into pairs of records.
     """
-    pairs = file_pairs(records.select("data_file").distinct(), configs)
+    spark = records.sparkSession
+    ensure_checkpoint_dir(spark)
+    pairs = file_pairs(records.select("data_file").distinct(), configs).checkpoint()
     roles = (
         pairs.select(F.col("eval_file").alias("data_file"), F.lit(True).alias("e"), F.lit(False).alias("t"))
         .unionByName(pairs.select(F.col("train_file").alias("data_file"), F.lit(False).alias("e"), F.lit(True).alias("t")))
         .groupBy("data_file").agg(F.max("e").alias("is_eval"), F.max("t").alias("is_train"))
+        .checkpoint()
     )
     cell = F.floor(F.col("span_start") / F.lit(SPAN_SECONDS)).cast("long")
     around = F.explode(F.array(cell - 1, cell, cell + 1))
     # Generators instead of filters, which would be pushed down with all their expressions repeated.
     placed = (
-        records.join(roles, "data_file")
-        .select("pos", "data_file", "is_eval", "is_train", "prompt", F.explode(F.array_compact(F.array(record_clip(F.col("metadata"), F.col("videos"))))).alias("clip"))
-        .select("pos", "data_file", "is_eval", "is_train", "prompt", "clip.*")
+        records.select("pos", "data_file", "prompt", F.explode(F.array_compact(F.array(record_clip(F.col("metadata"), F.col("videos"))))).alias("clip"))
+        .select("pos", "data_file", "prompt", "clip.*")
+        .join(roles, "data_file")
         .withColumn("cell", cell)
     )
     shared = (
@@ -186,46 +199,48 @@ def split_overlaps(records: DataFrame, configs: DataFrame) -> DataFrame:
         placed.join(shared, ["video", "cell"], "left_semi")
         .select("pos", "data_file", "is_eval", "is_train", "video", "span_start", "span_end", F.explode(asked).alias("q"))
         .select(
-            "pos", "data_file", "is_eval", "is_train", "video", "span_start", "span_end", "q.stem", "q.options",
-            F.md5(F.concat_ws(" ", F.array_join("q.stem", " "), F.lit("|"), F.array_join("q.options", " "))).alias("digest"),
+            "pos", "data_file", "is_eval", "is_train", "video", "span_start", "span_end",
+            F.array_join("q.stem", " ").alias("stem"), F.array_join("q.options", " ").alias("options"),
         )
+        .withColumn("k", F.xxhash64("video", "span_start", "span_end", F.md5(F.concat_ws("|", "stem", "options"))))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     classes = (
-        rows.groupBy(*CLASS)
-        .agg(F.max("is_eval").alias("is_eval"), F.max("is_train").alias("is_train"), F.min("stem").alias("stem"), F.min("options").alias("options"))
-        .withColumn("bag", numbered(F.concat("stem", "options")))
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        rows.groupBy("video", "k", "span_start", "span_end", "stem", "options")
+        .agg(F.max("is_eval").alias("is_eval"), F.max("is_train").alias("is_train"))
     )
-    facts = classes.select(*CLASS, F.struct("stem", numbered(F.col("options")).alias("options"), "bag").alias("x"), "is_eval", "is_train")
-    keyed = _signatures(classes).join(classes.select(*CLASS, "is_eval", "is_train"), CLASS)
-    left = keyed.where("is_eval").select(
-        "video", "sig", around.alias("cell"), F.struct(*CLASS).alias("a"),
-    )
-    right = keyed.where("is_train").select("video", "sig", cell.alias("cell"), F.struct(*CLASS).alias("b"))
+    as_words = lambda c: F.filter(F.split(F.col(c), " "), lambda w: w != "")
+    bags = classes.withColumn("bag", numbered(F.concat(as_words("stem"), as_words("options")))).persist(StorageLevel.MEMORY_AND_DISK)
+    keyed = bags.select("video", "k", "span_start", "is_eval", "is_train", F.explode(signatures(F.col("bag"), common_words(bags))).alias("sig"))
     near = (
-        left.join(right, ["video", "cell", "sig"])
-        .where((F.abs(F.col("a.span_start") - F.col("b.span_start")) <= SPAN_SECONDS) & (F.abs(F.col("a.span_end") - F.col("b.span_end")) <= SPAN_SECONDS))
-        .select("a", "b").distinct()
+        keyed.where("is_eval").select("video", around.alias("cell"), "sig", F.col("k").alias("a"))
+        .join(keyed.where("is_train").select("video", cell.alias("cell"), "sig", F.col("k").alias("b")), ["video", "cell", "sig"])
+        .select("video", "a", "b").distinct()
     )
-    fact = facts.select(F.struct(*CLASS).alias("k"), "x")
+    fact = lambda k, x: bags.select("video", F.col("k").alias(k), F.struct("span_start", "span_end", "stem", "options").alias(x))
     verified = (
-        near.join(fact.select(F.col("k").alias("a"), F.col("x").alias("xa")), "a")
-        .join(fact.select(F.col("k").alias("b"), F.col("x").alias("xb")), "b")
-        .withColumn("apart", F.when(F.col("a.digest") == F.col("b.digest"), F.lit(0)).when(
-            bag_edits(F.col("xa.bag"), F.col("xb.bag")) <= EDITS,
-            F.when(
-                word_edits(F.col("xa.stem"), F.col("xb.stem"), EDITS) >= 0,
-                word_edits(F.col("xa.stem"), F.col("xb.stem"), EDITS) + bag_edits(F.col("xa.options"), F.col("xb.options")),
-            ),
-        ))
-        .where(F.col("apart") <= EDITS)
-        .select("a", "b")
+        near.join(fact("a", "xa"), ["video", "a"]).join(fact("b", "xb"), ["video", "b"])
+        .where(
+            (F.abs(F.col("xa.span_start") - F.col("xb.span_start")) <= SPAN_SECONDS)
+            & (F.abs(F.col("xa.span_end") - F.col("xb.span_end")) <= SPAN_SECONDS)
+        )
+        .where(_apart("xa", "xb", as_words) <= EDITS)
+        .select("video", "a", "b")
+    )
+    members = lambda k, role: rows.where(f"is_{role}").select(
+        "video", F.col("k").alias(k), F.col("pos").alias(f"{role}_pos"), F.col("data_file").alias(f"{role}_file")
     )
-    members = rows.select(F.struct(*CLASS).alias("k"), "pos", "data_file", "is_eval", "is_train")
     return (
-        verified.join(members.where("is_eval").select(F.col("k").alias("a"), F.col("pos").alias("eval_pos"), F.col("data_file").alias("eval_file")), "a")
-        .join(members.where("is_train").select(F.col("k").alias("b"), F.col("pos").alias("train_pos"), F.col("data_file").alias("train_file")), "b")
+        verified.join(members("a", "eval"), ["video", "a"])
+        .join(members("b", "train"), ["video", "b"])
         .join(pairs, ["eval_file", "train_file"], "left_semi")
         .select("eval_pos", "eval_file", "train_pos", "train_file")
     )
+
+
+def _apart(a: str, b: str, as_words) -> Column:
+    """Edits between two questions: word edits of the stems plus those of the options as bags."""
+    same = (F.col(f"{a}.stem") == F.col(f"{b}.stem")) & (F.col(f"{a}.options") == F.col(f"{b}.options"))
+    options = bag_edits(numbered(as_words(f"{a}.options")), numbered(as_words(f"{b}.options")))
+    stems = word_edits(as_words(f"{a}.stem"), as_words(f"{b}.stem"), EDITS)
+    return F.when(same, F.lit(0)).otherwise(let(stems, lambda n: F.when(n >= 0, n + options)))
