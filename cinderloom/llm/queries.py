@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderloom.llm.mixing import mix_shares, mix_sources
 from cinderloom.llm.overlap import split_overlaps
+from cinderloom.llm.packing import pack_texts, packing_report
 from cinderloom.llm.pairs import broken_pairs
+from cinderloom.llm.residue import residue_documents
 from cinderloom.llm.sampling import category_candidates, proportional_sample, sampling_report
+from cinderloom.llm.tokens import token_counts
 from cinderloom.sources.tables import table
 
 
@@ -101,6 +106,51 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every text or piece, for each plan."""
+    return pack_texts(token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_plans"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_pack(spark, sf_dir).where("piece = 2").select("plan_id", "doc_id")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and their fill for each plan."""
+    return packing_report(p7_pack(spark, sf_dir), table(spark, sf_dir, "pack_plans"))
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    sizes = token_counts(documents).persist(StorageLevel.MEMORY_AND_DISK)
+    return documents.select("doc_id", "source", "lang", F.col("domain_l1").alias("domain")).join(sizes, "doc_id")
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents with their repeats."""
+    return mix_sources(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of the sources."""
+    documents, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return mix_shares(documents, targets, mix_sources(documents, targets))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue_documents(table(spark, sf_dir, "documents"))
+
+
+def p9_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and characters per source that stay in the corpus once residue is out."""
+    documents = table(spark, sf_dir, "documents")
+    return (
+        documents.join(residue_documents(documents), "doc_id", "left_anti")
+        .groupBy("source")
+        .agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_chars").alias("n_chars"))
+    )
+
+
 _P3 = """with t as (select plan_id, sample_size, field_name, regexp_replace(lower(trim(category)), '[\\s-]+', '_', 'g') as category, target_share,
 greatest(coalesce(min_rows, 0), cast(ceil(round(sample_size * target_share, 6)) as bigint)) as need from sample_targets),
 m as (select pos, problem_type, metadata::json as j from records where json_valid(metadata)),
@@ -113,7 +163,8 @@ report as (select t.plan_id, t.category, target_share, need, coalesce(available,
 from t left join a on t.plan_id = a.plan_id and t.category = a.category)
 """
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p4_found": p4_found, "p4_report": p4_report}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p4_found": p4_found, "p4_report": p4_report, "p7_found": p7_found, "p7_pack": p7_pack, "p7_report": p7_report, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_corpus": p9_corpus}
 SQL = {
     "p3_found": _P3 + "select plan_id, category from report where deficit > 0",
     "p3_report": _P3 + "select * from report",

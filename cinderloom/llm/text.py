@@ -40,11 +40,15 @@ def words(text: Column) -> Column:
 
 
 def shingles(tokens: Column, width: int = 5) -> Column:
-    """Distinct runs of ``width`` words as strings; one shorter run if there are fewer words."""
-    n = F.greatest(F.size(tokens) - F.lit(width - 1), F.lit(1))
-    return F.array_distinct(
-        F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(tokens, i, F.lit(width)), " "))
-    )
+    """Distinct runs of ``width`` words as 64-bit hashes; one shorter run if there are fewer words."""
+
+    def of(t: Column) -> Column:
+        n = F.greatest(F.size(t) - F.lit(width - 1), F.lit(1))
+        return F.array_distinct(
+            F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.array_join(F.slice(t, i, F.lit(width)), " ")))
+        )
+
+    return let(tokens, of)
 
 
 def lcs_length(a: Column, b: Column) -> Column:
