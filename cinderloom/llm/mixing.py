@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cinderloom.llm.sampling import bucket_of, draw
+from cinderloom.session import ensure_checkpoint_dir
 
 LEAF = ["source", "lang", "domain"]
 
@@ -64,6 +65,9 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
         "epochs", F.least(F.floor(F.col("budget") / F.col("tokens") + F.lit(1e-9)).cast("long"), F.col("max_repeats").cast("long"))
     )
     budgets = budgets.withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("tokens")).otherwise(0.0))
+    # A small table whose plan of nested windows would otherwise be repeated with every use.
+    ensure_checkpoint_dir(documents.sparkSession)
+    budgets = budgets.checkpoint()
     ordered = (
         known.join(budgets.select(*LEAF, "epochs", "rest"), LEAF)
         .withColumn("h", draw(F.lit(str(seed)), F.col("epochs"), F.col("doc_id")))
