@@ -148,35 +148,38 @@ def simhash_candidates(hashes: DataFrame, blocks: int = 7, distance: int = 12) -
     return left.join(right, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
+def alike(pairs: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The pairs ``a, b`` whose texts ``texts(id, norm)`` have a Jaccard similarity of five-word shingles of at least ``similarity``."""
+    side = lambda name: texts.select(F.col("id").alias(name), F.col("norm").alias(f"n{name}"))
+    both = F.struct(shingles(F.split("na", " ")).alias("a"), shingles(F.split("nb", " ")).alias("b"))
+
+    def close(s: Column) -> Column:
+        common = F.size(F.array_intersect(s["a"], s["b"]))
+        return let(common, lambda n: n >= F.lit(similarity) * (F.size(s["a"]) + F.size(s["b"]) - n))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(let(both, close)).select("a", "b")
+
+
 def near_duplicates(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Verified pairs ``a < b`` of ``texts(id, norm)``: Jaccard similarity of five-word shingles."""
-    pairs = simhash_candidates(simhash(texts))
-    split = lambda side: texts.select(F.col("id").alias(side), F.col("norm").alias(f"n{side}"))
-    of = lambda side: shingles(F.split(f"n{side}", " "))
-    both = F.struct(of("a").alias("a"), of("b").alias("b"))
-
-    def alike(s: Column) -> Column:
-        return let(F.size(F.array_intersect(s["a"], s["b"])), lambda n: n >= F.lit(similarity) * (F.size(s["a"]) + F.size(s["b"]) - n))
-
-    return (
-        pairs.join(split("a"), "a").join(split("b"), "b").where(let(both, alike))
-        .select("a", "b")
-    )
+    """All verified near-duplicate pairs ``a < b`` of ``texts(id, norm)``."""
+    return alike(simhash_candidates(simhash(texts)), texts, similarity)
 
 
-def reach(links: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``id`` of every node in a component of ``links(a, b)`` that holds one of ``seeds(id)``.
+def reach(candidates: DataFrame, seeds: DataFrame, texts: DataFrame) -> DataFrame:
+    """``id`` of every node in a near-duplicate component that holds one of ``seeds(id)``.
 
-    The label goes outward from the seeds until no node is new; each round is checkpointed.
+    The label goes outward from the seeds, and a candidate link is verified by its texts when the label
+    arrives at one of its ends, until no node is new: the components come out whole, and links that
+    no label can use cost nothing. Each round is checkpointed.
     """
-    ensure_checkpoint_dir(links.sparkSession)
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
+    ensure_checkpoint_dir(candidates.sparkSession)
+    links = candidates.checkpoint()
+    turned = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
     known = frontier = seeds.select("id").distinct().checkpoint()
     while True:
-        fresh = (
-            both.join(frontier.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).distinct()
-            .join(known, "id", "left_anti").checkpoint()
-        )
+        here, seen = frontier.withColumnRenamed("id", "a"), known.withColumnRenamed("id", "b")
+        tried = links.join(here, "a", "left_semi").unionByName(turned.join(here, "a", "left_semi")).join(seen, "b", "left_anti")
+        fresh = alike(tried.select("a", "b"), texts).select(F.col("b").alias("id")).distinct().checkpoint()
         if fresh.isEmpty():
             return known
         known, frontier = known.unionByName(fresh).checkpoint(), fresh
@@ -200,6 +203,6 @@ def residue_documents(documents: DataFrame) -> DataFrame:
     )
     flags = marked.select("doc_id", "id", "trusted", "weak").persist(StorageLevel.MEMORY_AND_DISK)
     classes = marked.groupBy("id").agg(F.min("norm").alias("norm")).where("norm <> ''")
-    reached = reach(near_duplicates(classes), flags.where("trusted").select("id"))
+    reached = reach(simhash_candidates(simhash(classes)), flags.where("trusted").select("id"), classes)
     passed = flags.where("weak and not trusted").join(reached, "id", "left_semi")
     return flags.where("trusted").select("doc_id").unionByName(passed.select("doc_id"))
