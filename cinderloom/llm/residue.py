@@ -61,8 +61,23 @@ KEYWORDS = LATIN.split("|") + (
     "denied http permission available expired failed wrong returned persists browser limited seite encontrada introuvable erreur fehler erro javascript java script scripts scripting cookie cookies active"
 ).split()
 
-#: Loose signs of any of the above, wherever they stand: what a text that trusted residue is passed on to must hold.
-WEAK = rf"(?i)\{{\w+|\w+\}}|<<|@@|__\w+__|\[(?:insert|your)|lorem|ipsum|placeholder|dummy|coming soon|{_STATUS}|access denied|javascript|scripts|cookies|unavailable|[45]\d\d"
+#: Loosened forms of every pattern above, list by list: what a text that trusted residue is passed on to must hold one of.
+LOOSE_SLOTS = [
+    r"\{\{|\}\}|[$#]\{|\{%|%\}|<%|%>|%\(\w|\[\[|\]\]|<<|>>|@@|__\w|\w__|\{\s*[A-Za-z_]|\w\s*\}",
+    rf"(?i:[\[(<]\s*(?:insert|your|add|enter|fill|todo|tbd)\b)|\[[A-Z]{{3,}}|<(?!/?(?:{TAGS})\b)[A-Z]{{2,}}", r"(?i:\b(?:x{3,}|todo|tbd)\b)",
+]
+LOOSE_FILLER = [
+    rf"\b(?:lorem|ipsum|consectetur|adipiscing)\b|(?:\b(?:{LATIN})\b[\s,.]*+){{2,}}", r"\b(?:asdf|qwer|zxcv|hjkl)\w*|\b(?:lkjh|sdfg|dfgh|qux|blah|a{3,}|b{3,})\b|(?:\b(?:foo|bar|baz|test|text)\b[\s,.\d]*+){2,}",
+    rf"\b(?:dummy|placeholder|filler)\b|\b(?:sample|example) (?:\w+ )?{_THING}\b", rf"\b{_THING}\s(?:\w+\s){{0,3}}?(?:here|soon|later|follows?|added|written|come|coming)\b",
+    r"\bappears? in this space\b|\b(?:goes|go) here\b|\bcoming soon\b|\b(?:to|will) follow\b|\bnot written yet\b", r"\bhier (?:steht|folgt|kommt)\b|platzhalter|beispieltext",
+    r"此处|占位|示例", r"\btexto (?:de|do|del) (?:ejemplo|exemplo|relleno|muestra|prueba)\b", r"\btexte (?:\w+ )?(?:d['’]exemple|à venir|de remplissage|provisoire)", r"здесь (?:\w+ )?будет|пример\w* текст",
+]
+LOOSE_ERRORS = [
+    rf"{_STATUS}|\b[45]\d\d\b|\b(?:error|erro|erreur|fehler)\b|ошибк", r"\baccess (?:is |was )?denied\b|\bpermission to\b|\b(?:isn['’]t|is not|not) available\b|\bunavailable\b", r"\bsession (?:has |is |was )?(?:expired|timed out|ended)\b",
+    r"\bfailed to load\b|\b(?:could|can|did)(?: ?not|n['’]t) (?:be )?load", r"\bwent wrong\b|\bserver (?:returned|responded|error)\b|\bproblem persists\b|\bchecking your browser\b|\baddress has been\b|\brequest id\b",
+    r"\bnicht gefunden\b|\b(?:no|não) (?:fue |foi )?encontrad[ao]\b|\bintrouvable\b|не найден|页面|找不到|服务器",
+]
+LOOSE_NOTICES = [rf"\b{_NEEDS}\b|javascript|\byour browser\b|\bwill not load without\b|脚本|启用|скрипт|\bcookie"]
 
 
 def _any(text: Column, patterns: list[str]) -> Column:
@@ -92,11 +107,21 @@ def trusted_residue(text: Column) -> Column:
         return slots | let(plain(said), lambda p: spoken(p) & (_any(p, FILLER) | _any(p, ERRORS) | _any(p, NOTICES)))
 
     def spoken(p: Column) -> Column:
-        return F.arrays_overlap(F.split(p, r"[^\p{L}]+"), F.lit(KEYWORDS)) | p.rlike(r"[\p{IsHan}\p{IsCyrillic}]")
+        return F.arrays_overlap(F.split(p, r"[^\p{L}]+"), F.lit(KEYWORDS)) | p.rlike(r"[\p{IsHan}\p{IsCyrillic}]|\b(?:a{3,}|b{3,}|x{3,})\b")
 
     return F.coalesce(let(prose(visible(repaired(text))), judged), F.lit(False))
 
 
+def weak_residue(text: Column) -> Column:
+    """Whether a text holds at least a loose sign of residue, wherever it stands."""
+
+    def judged(said: Column) -> Column:
+        low = F.regexp_replace(F.lower(said), r"[ \t]+", " ")
+        return _any(said, LOOSE_SLOTS) | let(low, lambda p: _any(p, LOOSE_FILLER) | _any(p, LOOSE_ERRORS) | _any(p, LOOSE_NOTICES))
+
+    return F.coalesce(let(visible(repaired(text)), judged), F.lit(False))
+
+
 def masked_words(text: Column) -> Column:
     """The words of a text with digits masked, in one string: texts that agree here are copies."""
     return F.array_join(words(F.regexp_replace(F.coalesce(text, F.lit("")), r"\d+", "0")), " ")
@@ -198,11 +223,13 @@ def residue_documents(documents: DataFrame) -> DataFrame:
     marked = (
         texts.withColumn("norm", masked_words(F.col("text")))
         .select(
-            "doc_id", "norm", trusted.alias("trusted"), F.col("text").rlike(WEAK).alias("weak"), F.xxhash64(F.md5("norm")).alias("id")
+            "doc_id", "norm", trusted.alias("trusted"), F.xxhash64(F.md5("norm")).alias("id")
         )
     )
-    flags = marked.select("doc_id", "id", "trusted", "weak").persist(StorageLevel.MEMORY_AND_DISK)
+    flags = marked.select("doc_id", "id", "trusted").persist(StorageLevel.MEMORY_AND_DISK)
     classes = marked.groupBy("id").agg(F.min("norm").alias("norm")).where("norm <> ''")
     reached = reach(simhash_candidates(simhash(classes)), flags.where("trusted").select("id"), classes)
-    passed = flags.where("weak and not trusted").join(reached, "id", "left_semi")
+    arrived = flags.where("not trusted").join(reached, "id", "left_semi").select("doc_id")
+    # A generator rather than a filter, which would be pushed below the join and try the loose signs on every text.
+    passed = texts.join(arrived, "doc_id", "left_semi").select(F.explode(F.when(weak_residue(F.col("text")), F.array("doc_id"))).alias("doc_id"))
     return flags.where("trusted").select("doc_id").unionByName(passed.select("doc_id"))
