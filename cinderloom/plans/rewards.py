@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderloom.plans.catalog import r9
 from cinderloom.sources.tables import table
 
 #: Task types scored by an option's letter, beside all those that begin with ``seg_aot_``.
@@ -62,5 +63,57 @@ def choice_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return choice_letters(table(spark, sf_dir, "rollouts"))
 
 
-QUERIES = {f.__name__: f for f in (choice_answers,)}
+_NUMBER = r"([0-9]*\.?[0-9]+)"
+#: The wordings of a time pair outside tags, in the order they are tried.
+_RANGES = [
+    rf"(?isU)The\s+event(?:\s+['\"“].*?['\"”])?\s+happens\s+in\s+(?:the\s+)?{_NUMBER}\s*-\s*{_NUMBER}\s*seconds?",
+    rf"(?iU){_NUMBER}\s*-\s*{_NUMBER}\s*seconds?",
+    r"(?iU)([0-9]+\.?[0-9]*)\s+(?:to|and)\s+([0-9]+\.?[0-9]*)",
+]
+
+
+def _pair(text: Column, pattern: str) -> Column:
+    """Start and end of the pattern's first match; null unless 0 <= start < end."""
+    start, end = (F.regexp_extract(text, pattern, k).try_cast("double") for k in (1, 2))
+    return F.when((start >= 0) & (start < end), F.struct(start.alias("s"), end.alias("e")))
+
+
+def time_pair(text: Column) -> Column:
+    """A single time pair as ``struct<s, e>``: free wordings in the whole text, then in the first
+    <answer>, then the first segment of <events>; an invalid pair lets the next be tried."""
+    answer = F.regexp_extract(text, r"(?s)<answer>(.*?)</answer>", 1)
+    events = F.regexp_extract(text, r"(?s)<events>(.*?)</events>", 1)
+    tried = [_pair(t, p) for t in (text, answer) for p in _RANGES]
+    return F.coalesce(*tried, _pair(events, rf"(?U)\[\s*{_NUMBER}\s*,\s*{_NUMBER}\s*\]"))
+
+
+def grounding_scores(rollouts: DataFrame, durations: DataFrame) -> DataFrame:
+    """``row_id, s, e, gs, ge, iou, penalty, reward`` of all temporal_grounding rollouts.
+
+    ``reward`` is the IoU times the end points' distance penalty over ``durations(problem_id,
+    duration)``; 1 without a positive duration. No valid pair on either side, repeated tags or a ``[1-2]`` give 0.
+    """
+    rows = rollouts.where("problem_type = 'temporal_grounding'")
+    rows = rows.select("row_id", "problem_id", _given("response").alias("_text"), _given("ground_truth").alias("_truth"))
+    tags = [F.regexp_count("_text", F.lit(tag)) > 1 for tag in ("<answer>", "</answer>", "<events>", "</events>")]
+    hacked = tags[0] | tags[1] | tags[2] | tags[3] | F.col("_text").rlike(r"\[[0-9]+-[0-9]+\]")
+    rows = rows.select("row_id", "problem_id", hacked.alias("_hacked"), time_pair(F.col("_text")).alias("_p"), time_pair(F.col("_truth")).alias("_g"))
+    rows = rows.select("row_id", "problem_id", "_hacked", "_p.s", "_p.e", F.col("_g.s").alias("gs"), F.col("_g.e").alias("ge")).join(durations, "problem_id", "left")
+    iou = "case when s is null or gs is null then 0e0 else greatest(0e0, least(e, ge) - greatest(s, gs)) / (greatest(e, ge) - least(s, gs)) end"
+    rows = rows.withColumn("iou", F.expr(iou)).withColumn(
+        "penalty", F.expr("case when duration > 0 and s is not null and gs is not null then greatest(0e0, (1e0 - abs(gs - s) / duration) * (1e0 - abs(ge - e) / duration)) else 1e0 end")
+    )
+    reward = F.expr(f"case when _hacked then 0e0 else {r9('iou * penalty')} end")
+    return rows.select("row_id", "s", "e", "gs", "ge", F.expr(r9("iou")).alias("iou"), F.expr(r9("penalty")).alias("penalty"), reward.alias("reward"))
+
+
+def grounding_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durations are metadata.duration of the grounding records with the rollout's problem_id; the longest if they differ."""
+    meta = table(spark, sf_dir, "records").where("problem_type = 'temporal_grounding'").select(F.try_parse_json("metadata").alias("m"))
+    durations = meta.select(F.try_variant_get("m", "$.id", "string").alias("problem_id"), F.try_variant_get("m", "$.duration", "double").alias("duration"))
+    durations = durations.where("problem_id is not null and duration > 0").groupBy("problem_id").agg(F.max("duration").alias("duration"))
+    return grounding_scores(table(spark, sf_dir, "rollouts"), durations)
+
+
+QUERIES = {f.__name__: f for f in (choice_answers, grounding_reward)}
 SQL = {}

@@ -15,3 +15,17 @@ def test_choice_letters(spark):
     df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "row_id long, problem_type string, response string, ground_truth string")
     got = {r.row_id: tuple(r)[2:] for r in R.choice_letters(df).collect()}
     assert got == {i: c[3:] for i, c in enumerate(cases) if len(c) > 3}
+
+
+def test_grounding_scores(spark):
+    truth = "The event happens in the 10.0 - 20.0 seconds."
+    cases = [
+        ("10 - 20 seconds", truth, 1.0), ("<answer>15.0 to 20</answer>", truth, 0.5), ("<events>[[10, 15.0],[1,2]]</events>", truth, 0.5), ("from 10 and 20", truth, 1.0),
+        (None, truth, 0.0), ("I can't tell", truth, 0.0), ("20 - 10 seconds", truth, 0.0), ("20 - 10 seconds, or 10 to 20", truth, 1.0), ("10 - 20 seconds", None, 0.0), ("10 - 20 seconds", "n/a", 0.0),
+        ("<answer>10 to 20</answer><answer>10 to 20</answer>", truth, 0.0), ("[10-20] 10 - 20 seconds", truth, 0.0), ("30 - 40 seconds", truth, 0.0), ("10 - 20 seconds", "<events>[[10, 20]]</events>", 1.0),
+        ("The event 'a 1 - 2 seconds\nb' happens in the 10 - 20 seconds", truth, 1.0),
+    ]
+    rows = [(i, "temporal_grounding", None, r, g) for i, (r, g, _) in enumerate(cases)] + [(90, "temporal_grounding", "k", "10 - 15 seconds", truth), (91, "ocr", "k", "1 - 2 seconds", truth)]
+    df = spark.createDataFrame(rows, "row_id long, problem_type string, problem_id string, response string, ground_truth string")
+    got = {r.row_id: r.reward for r in R.grounding_scores(df, spark.createDataFrame([("k", 20.0)], "problem_id string, duration double")).collect()}
+    assert got == {i: c[2] for i, c in enumerate(cases)} | {90: 0.375}
