@@ -30,6 +30,8 @@ TEXT = {
     "lookup_left": f"with {LIVE_E} select a.row_id, e.label as event_label, case when e.id is null then 1 else 0 end as is_missing from actions a left join ev e on a.video_id = e.video_id and lower(trim(a.parent_event_id)) = lower(trim(e.id))",
     "lookup_inner": f"with {LIVE_E}, {LIVE_P} select e.row_id, e.label as event_label, p.label as phase_label from ev e join ph p on e.video_id = p.video_id and lower(trim(e.parent_phase_id)) = lower(trim(p.id))",
     "resume_anti": "select r.row_id from rollouts r left join (select distinct data_type, problem_type from records) k on r.data_type = k.data_type and r.problem_type = k.problem_type where k.problem_type is null",
+    # Input minus processed by content: the records, with their place, that no rollout answers.
+    "resume_remaining": "select pos from records r where not exists (select 1 from rollouts o where o.prompt is not distinct from r.prompt and o.ground_truth is not distinct from r.answer)",
     "content_semi": "select pos from records r where exists (select 1 from rollouts o where o.prompt = r.prompt and o.ground_truth = r.answer)",
     "blocklist_or_anti": "select doc_id from documents d where not exists (select 1 from annotations a where a.clip_key = d.clip_key) and not exists (select 1 from mix_targets m where m.source = d.source)",
     "containment_check": f"with {SOUND_E}, {LIVE_P} select e.row_id, case when p.id is null then 'missing_parent' when e.start_time < p.start_time or e.end_time > p.end_time then 'outside' else 'inside' end as state from evs e left join ph p on e.video_id = p.video_id and lower(trim(e.parent_phase_id)) = lower(trim(p.id))",
