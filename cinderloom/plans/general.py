@@ -91,9 +91,9 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotation_occurrences(table(spark, sf_dir, "annotations")).unionByName(
-        record_occurrences(table(spark, sf_dir, "records"))
+def _occurrences(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return annotation_occurrences(table(spark, sf_dir, "annotations"), whole).unionByName(
+        record_occurrences(table(spark, sf_dir, "records"), whole)
     )
 
 
@@ -107,12 +107,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The object store: every distinct object once, with the number of its occurrences."""
-    return object_store(_occurrences(spark, sf_dir))
+    return object_store(_occurrences(spark, sf_dir, whole=True))
 
 
 def p6_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence: the object, the object that contains it and the place in its array."""
-    return _occurrences(spark, sf_dir).select("src", "root_id", "node", "container_id", "object_id", "ordinal")
+    return _occurrences(spark, sf_dir, whole=True).select("src", "root_id", "node", "container_id", "object_id", "ordinal")
 
 
 _SPANS_SQL = " union all ".join(
