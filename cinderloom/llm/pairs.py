@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderloom.llm.text import language, lcs_length, shingles, visible, words
+from cinderloom.llm.text import language, lcs_length, long_lcs_length, shingles, visible, words
 
 #: Whole texts that stand for "no value", after markup and punctuation are dropped.
 NO_VALUE = ["na", "n a", "none", "null", "nil", "nan", "undefined", "no answer", "not available", "not applicable", "no response", "no value", "tbd", "blank", "missing"]
@@ -59,8 +59,7 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
     own is used, and without either, copies and languages can't be judged. Thoughts are never judged.
     Signs transcribed (type ``ocr``) and texts without words have no language. Repeated rows each
     give a row. Whole texts are looked at; a copy is aligned by word containment and longest common
-    subsequence, beyond 400 words each by containment of five-word shingles, as a few changes there leave
-    nearly all shingles whole.
+    subsequence at every length; beyond 400 words each the same length is counted bit by bit.
     """
     kept = pairs.where(F.col("text").isNull() | ~F.col("text").rlike(PLAIN))
     text = visible(F.col("text"))
@@ -104,10 +103,12 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
     most = F.lit(0.75)
     contained = F.size(F.array_intersect(bw, qw)) >= most * F.size(F.array_distinct(qw))
     long_text = F.least(n_b, n_q) > 400
-    shingled = F.size(F.array_intersect(shingles(bw), shingles(qw))) >= F.lit(0.8) * F.size(shingles(qw))
-    aligned = F.when(long_text, shingled).otherwise(lcs_length(bw, qw) >= most * F.greatest(n_q, F.least(n_b, n_q)))
     few_new = F.size(other_words) <= F.greatest(F.lit(1.0), n_q * F.lit(0.12))
-    plain_copy = F.when((n_q >= 3) & close & contained & few_new & ~answer_like, aligned)
+    likely = (n_q >= 3) & close & contained & few_new & ~answer_like
+    # Long pairs are aligned outside the table; all others are null there and cost nothing.
+    judged = judged.withColumn("_common", long_lcs_length(*[F.when(long_text & likely, F.array_join(w, " ")) for w in (bw, qw)]))
+    common = F.when(long_text, F.col("_common")).otherwise(lcs_length(bw, qw))
+    plain_copy = F.when(likely, common >= most * F.greatest(n_q, F.least(n_b, n_q)))
     pw = words(F.col("_prompt"))
     prompt_copy = F.when(
         (n_q >= 3) & with_options & contained & (F.size(F.array_intersect(bw, pw)) >= F.lit(0.9) * F.size(F.array_distinct(bw))),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,6 +95,30 @@ def _lcs_table(a: Column, b: Column) -> Column:
     return F.element_at(F.aggregate(a, zero, row), -1)
 
 
+def long_lcs_length(a: Column, b: Column) -> Column:
+    """The same for the words of two strings without bound on their length: a row of the table is one integer's bits."""
+
+    @F.pandas_udf("int")
+    def bits(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        def length(x, y) -> int:
+            if x is None or y is None:
+                return 0
+            first, second = x.split(), y.split()
+            places: dict[str, int] = {}
+            for i, word in enumerate(first):
+                places[word] = places.get(word, 0) | 1 << i
+            full = (1 << len(first)) - 1
+            row = full
+            for word in second:
+                met = row & places.get(word, 0)
+                row = ((row + met) | (row - met)) & full
+            return len(first) - row.bit_count()
+
+        return pd.Series([length(x, y) for x, y in zip(xs, ys)], dtype="int32")
+
+    return bits(a, b)
+
+
 def language(text: Column) -> Column:
     """Language of a text by script and frequent words; null when nothing speaks for one.
 
