@@ -115,5 +115,26 @@ def grounding_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding_scores(table(spark, sf_dir, "rollouts"), durations)
 
 
-QUERIES = {f.__name__: f for f in (choice_answers, grounding_reward)}
+def sort_scores(rollouts: DataFrame) -> DataFrame:
+    """``row_id, n, n_right, reward`` of all sorting rollouts, ``reward`` being the jigsaw displacement.
+
+    Digits of the last <answer> are cut or filled up with the missing elements to the truth's length;
+    an unknown element costs n - 1. Less than two digits on either side give 0.
+    """
+    rows = rollouts.where("problem_type in ('event_logic_sort', 'sort')")
+    rows = rows.select("row_id", *[F.regexp_extract_all(t, F.lit("[0-9]"), F.lit(0)).alias(n) for t, n in ((_given("ground_truth"), "g"), (F.coalesce(_last_answer(_given("response")), F.lit("")), "_p"))])
+    missing = "filter(g, x -> not array_contains(_p, x))"
+    rows = rows.withColumn("n", F.size("g").cast("long")).withColumn("p", F.expr(f"slice(concat(_p, slice({missing}, 1, greatest(size(g) - size(_p), 0))), 1, size(g))"))
+    # A repeated element of the truth counts at its last place.
+    cost = "aggregate(transform(p, (x, i) -> case when array_contains(g, x) then abs(i - (size(g) - array_position(reverse(g), x))) else cast(size(g) - 1 as bigint) end), 0L, (a, x) -> a + x)"
+    reward = f"case when size(g) < 2 or size(_p) < 2 then 0e0 when p = g then 1e0 else greatest(0e0, 1e0 - {cost} / floor(size(g) * size(g) / 2)) end"
+    right = "case when size(_p) < 2 then 0L else cast(size(filter(zip_with(p, g, (x, y) -> x = y), z -> z)) as bigint) end"
+    return rows.select("row_id", "n", F.expr(right).alias("n_right"), F.expr(r9(reward)).alias("reward"))
+
+
+def jigsaw_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_scores(table(spark, sf_dir, "rollouts"))
+
+
+QUERIES = {f.__name__: f for f in (choice_answers, grounding_reward, jigsaw_displacement)}
 SQL = {}

@@ -29,3 +29,14 @@ def test_grounding_scores(spark):
     df = spark.createDataFrame(rows, "row_id long, problem_type string, problem_id string, response string, ground_truth string")
     got = {r.row_id: r.reward for r in R.grounding_scores(df, spark.createDataFrame([("k", 20.0)], "problem_id string, duration double")).collect()}
     assert got == {i: c[2] for i, c in enumerate(cases)} | {90: 0.375}
+
+
+def test_sort_scores(spark):
+    cases = [
+        ("<answer>1 3, 2</answer>", "132", 1.0, 3), ("<answer>321</answer>", "123", 0.0, 1), ("<answer>2134</answer>", "1234", 0.75, 2), ("<answer>12</answer>", "1234", 1.0, 4), ("<answer>12345</answer>", "1234", 1.0, 4),
+        ("<answer>9234</answer>", "1234", 0.625, 3), ("<answer>1</answer>", "12", 0.0, 0), ("132", "132", 0.0, 0), (None, "132", 0.0, 0), ("<answer>12</answer>", " ", 0.0, 0), ("<answer>21</answer> <ANSWER>12</ANSWER>", "12", 1.0, 2),
+        ("<answer>0123456789</answer>", "0123456789", 1.0, 10), ("<answer>1234</answer>", "1213", 0.25, 2),
+    ]
+    df = spark.createDataFrame([(i, "event_logic_sort", c[0], c[1]) for i, c in enumerate(cases)], "row_id long, problem_type string, response string, ground_truth string")
+    got = {r.row_id: (r.reward, r.n_right) for r in R.sort_scores(df).collect()}
+    assert got == {i: c[2:] for i, c in enumerate(cases)}
