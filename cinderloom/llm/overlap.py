@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderloom.llm.text import let, visible, words
+from cinderloom.llm.text import CLOSING, let, visible, words
 from cinderloom.session import ensure_checkpoint_dir
 
 EDITS = 4
@@ -41,10 +41,6 @@ def record_clip(metadata: Column, videos: Column) -> Column:
     return F.coalesce(clip_of(named), clip_of(folder), clip_of(file))
 
 
-#: How closing instruction lines begin.
-CLOSING = r"(?:please (?:provide|answer)|answer with|think first|keep the answer|give the|reason between|reply with|return <|return the)"
-
-
 def question_parts(prompt: Column) -> Column:
     """``struct(stem, options)``: the words of the question, and the sorted words of its options.
 

@@ -11,14 +11,21 @@ INVISIBLE = "[​-‏⁠﻿­]"
 #: White space that Java's \s leaves out.
 WIDE_SPACE = "[ 　 -  ]"
 
-#: Frequent words, and letters, that tell Latin-script languages apart.
+#: Function words, and letters, that tell Latin-script languages apart.
 LANGUAGE_WORDS = {
-    "en": r"\b(?:the|and|an|of|with|what|which|that|at|does|how|when|to|are|it|is|while|this|was|for|by|happens|between)\b",
-    "es": r"\b(?:el|los|las|una|y|por|del|qué|está|junto|sobre|segundos|entre|momento|delante|opción|que|en|ocurre|cuando|toma|mujer)\b|[ñ¿¡]",
-    "de": r"\b(?:der|die|das|den|dem|ein|eine|und|im|auf|neben|vor|ist|was|wenn|deshalb|zwischen|folgendes|geschieht|sekunde|warum|wird)\b|[ßäöü]",
-    "fr": r"\b(?:le|les|des|du|une|et|dans|sur|est|pour|que|devant|au|entre|pourquoi|se|secondes|donc|bonne|moment)\b|\b[ld]['’]|[èêàœ]",
-    "pt": r"\b(?:o|os|as|uma|um|na|ao|do|da|e|diante|lado|portanto|entre|segundos|não|em|sobre|momento|evento|opção|certa|é|no)\b|[ãõ]",
+    "en": r"\b(?:the|and|an|of|with|what|which|that|at|does|how|when|to|are|it|is|while|this|was|for|by|between|from|then|its|has)\b",
+    "es": r"\b(?:el|los|las|una|y|por|del|qué|está|sobre|entre|delante|que|en|cuando|con|su|al|pero|desde|hasta|junto|la)\b|[ñ¿¡]",
+    "de": r"\b(?:der|die|das|den|dem|ein|eine|und|im|auf|neben|vor|ist|was|wenn|deshalb|zwischen|warum|wird|mit|von|nicht|sich|zur|zum)\b|[ßäöü]",
+    "fr": r"\b(?:le|les|des|du|une|et|dans|sur|est|pour|que|devant|au|entre|pourquoi|se|donc|avec|qui|aux|pas|la)\b|\b[ld]['’]|[èêàœ]",
+    "pt": r"\b(?:o|os|as|uma|um|na|ao|do|da|e|diante|portanto|entre|não|em|sobre|é|no|com|dos|pelo|pela)\b|[ãõ]",
 }
+#: Further scripts, each of which stands for one language here.
+SCRIPTS = {
+    "ja": r"\p{IsHiragana}\p{IsKatakana}", "ko": r"\p{IsHangul}", "ar": r"\p{IsArabic}", "he": r"\p{IsHebrew}", "el": r"\p{IsGreek}",
+    "hi": r"\p{IsDevanagari}", "th": r"\p{IsThai}", "hy": r"\p{IsArmenian}", "ka": r"\p{IsGeorgian}", "bn": r"\p{IsBengali}", "ta": r"\p{IsTamil}",
+}
+#: How closing instruction lines begin.
+CLOSING = r"(?:please (?:provide|answer)|answer with|think first|keep the answer|give the|reason between|reply with|return <|return the)"
 
 
 def let(value: Column, build) -> Column:
@@ -53,51 +60,12 @@ def shingles(tokens: Column, width: int = 5) -> Column:
 
 
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays.
+    """Length of the longest common subsequence of two word arrays, whatever their length; 0 beside a null.
 
-    The common beginning and end are counted and cut off; the rest goes through the usual table, row by row.
+    An Arrow-batched function: a row of the usual table is one integer's bits, so a row costs one
+    addition per word instead of a cell per pair of words.
     """
 
-    def beginning(x: Column, y: Column) -> Column:
-        same = F.zip_with(x, y, lambda v, w: F.coalesce(v == w, F.lit(False)))
-        first_other = F.array_position(same, False).cast("int")
-        return F.when(first_other == 0, F.size(x)).otherwise(first_other - F.lit(1))
-
-    def rest(x: Column, n: Column) -> Column:
-        return F.reverse(F.slice(x, n + F.lit(1), F.greatest(F.size(x) - n, F.lit(0))))
-
-    def after(n: Column) -> Column:
-        return let(
-            F.struct(rest(a, n).alias("x"), rest(b, n).alias("y")),
-            lambda t: let(
-                beginning(t["x"], t["y"]), lambda m: n + m + _lcs_table(rest(t["x"], m), rest(t["y"], m))
-            ),
-        )
-
-    return let(beginning(a, b), after)
-
-
-def _lcs_table(a: Column, b: Column) -> Column:
-    zero = F.array_repeat(F.lit(0), F.size(b) + F.lit(1))
-    none = F.expr("cast(array() as array<int>)")
-
-    def row(prev: Column, x: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            match = F.element_at(prev, j) + F.lit(1)
-            best = F.greatest(F.element_at(prev, j + F.lit(1)), F.element_at(acc, -1))
-            return F.concat(acc, F.array(F.when(F.element_at(b, j) == x, match).otherwise(best)))
-
-        start = F.concat(none, F.array(F.lit(0)))
-        return F.when(F.size(b) == 0, prev).otherwise(
-            F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1))), start, cell)
-        )
-
-    return F.element_at(F.aggregate(a, zero, row), -1)
-
-
-def long_lcs_length(a: Column, b: Column) -> Column:
-    """The same for the words of two strings without bound on their length: a row of the table is one integer's bits."""
-
     @F.pandas_udf("int")
     def bits(xs: pd.Series, ys: pd.Series) -> pd.Series:
         def length(x, y) -> int:
@@ -116,11 +84,17 @@ def long_lcs_length(a: Column, b: Column) -> Column:
 
         return pd.Series([length(x, y) for x, y in zip(xs, ys)], dtype="int32")
 
-    return bits(a, b)
+    return bits(F.array_join(a, " "), F.array_join(b, " "))
+
+
+def last_word(text: Column) -> Column:
+    """The lower-case word a text ends in; a Han sign is a word; an empty string when it ends in none."""
+    tail = F.substring_index(F.rtrim(text), " ", -1)
+    return F.lower(F.regexp_extract(tail, r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[\p{L}\p{M}&&[^\p{IsHan}]]+)$", 1))
 
 
 def language(text: Column) -> Column:
-    """Language of a text by script and frequent words; null when nothing speaks for one.
+    """Language of a text by script and function words; null when nothing speaks for one.
 
     A Latin language needs more hits than every other one; plain ASCII with "the" is English at once.
     """
@@ -139,8 +113,13 @@ def language(text: Column) -> Column:
         lambda r: F.when((r[0]["n"] >= 1) & (r[0]["n"] > r[1]["n"]), r[0]["lang"]),
     )
     english = text.rlike(r"^[\x00-\x7f]*$") & low.rlike(r"\bthe\b")
+    other = F.lit(None).cast("string")
+    for lang, signs in reversed(SCRIPTS.items()):
+        n = F.regexp_count(text, F.lit(f"[{signs}]"))
+        other = F.when((n >= 3) & (n >= latin), lang).otherwise(other)
     return (
         F.when(english, "en")
+        .when(text.rlike("[" + "".join(SCRIPTS.values()) + "]") & other.isNotNull(), other)
         .when((han >= 2) & (han * 3 >= latin), "zh")
         .when((cyrillic >= 3) & (cyrillic >= latin), "ru")
         .otherwise(best)

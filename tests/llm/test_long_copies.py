@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from cinderloom.llm.pairs import broken_pairs
-from cinderloom.llm.text import lcs_length, long_lcs_length, words
+from cinderloom.llm.text import lcs_length, words
 
 
 def test_slight_change_is_a_copy_at_any_length(spark):
@@ -19,8 +19,24 @@ def test_slight_change_is_a_copy_at_any_length(spark):
     assert {(r.row_key, r.defect) for r in broken_pairs(df).collect()} == {(r[1], "copy") for r in rows}
 
 
-def test_long_lcs(spark):
+def brute(x, y):
+    row = [0] * (len(y) + 1)
+    for a in x:
+        row = [0] + _next(row, a, y)
+    return row[-1]
+
+
+def _next(row, a, y):
+    out, left = [], 0
+    for j, b in enumerate(y):
+        left = row[j] + 1 if a == b else max(row[j + 1], left)
+        out.append(left)
+    return out
+
+
+def test_lcs_against_the_table(spark):
     rng = random.Random(5)
     rows = [(" ".join(rng.choices("abcd", k=rng.randrange(0, 30))), " ".join(rng.choices("abcd", k=rng.randrange(0, 30)))) for _ in range(60)]
     df = spark.createDataFrame(rows, "x string, y string")
-    assert all(r[0] == r[1] for r in df.select(long_lcs_length(F.col("x"), F.col("y")), lcs_length(words(F.col("x")), words(F.col("y")))).collect())
+    got = df.select("x", "y", lcs_length(words(F.col("x")), words(F.col("y"))).alias("n")).collect()
+    assert [r.n for r in got] == [brute(r.x.split(), r.y.split()) for r in got]
