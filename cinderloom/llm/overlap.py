@@ -70,15 +70,20 @@ def numbered(tokens: Column) -> Column:
 def word_edits(a: Column, b: Column, most: int) -> Column:
     """Words replaced, added or dropped between two word arrays if at most ``most``, else -1.
 
-    Each distinct word becomes one character, and the built-in edit distance does the rest.
+    Each distinct word becomes one character beyond the surrogates, of which there are 2 ** 20, and the built-in
+    edit distance does the rest. Texts whose sets differ too much are told apart before, and so
+    are two that differ and together have more distinct words than that.
     """
-    vocabulary = F.array_union(a, b)
+    first, places = 0x10000, 1 << 20
 
     def spelt(tokens: Column, known: Column) -> Column:
-        codes = F.transform(tokens, lambda w: F.lpad(F.hex(F.array_position(known, w) + F.lit(0x4E00 - 1)), 4, "0"))
-        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
+        codes = F.transform(tokens, lambda w: F.lpad(F.hex(F.array_position(known, w) + F.lit(first - 1)), 8, "0"))
+        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
 
-    return let(vocabulary, lambda v: F.levenshtein(spelt(a, v), spelt(b, v), most))
+    far = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)) > 2 * most
+    return F.when(far, F.lit(-1)).otherwise(
+        let(F.array_union(a, b), lambda v: F.when(F.size(v) > places, F.lit(-1)).otherwise(F.levenshtein(spelt(a, v), spelt(b, v), most)))
+    )
 
 
 def bag_edits(a: Column, b: Column) -> Column:
@@ -155,17 +160,8 @@ def signatures(bag: Column, common: list[str]) -> Column:
     return let(F.slice(ranked, 1, EDITS + 2), of)
 
 
-def split_overlaps(records: DataFrame, configs: DataFrame) -> DataFrame:
-    """``eval_pos, eval_file, train_pos, train_file``: every evaluation record and a record of a
-    training file of the same config, in another file, that name the same clip and ask the same question.
-
-    ``records(pos, data_file, prompt, metadata, videos)``. Spans may differ by SPAN_SECONDS at each end
-    and questions by EDITS words. Rows without a readable clip or without a word in the prompt match
-    nothing; repeated rows match each on their own. Only rows of clips that lie on both sides are looked
-    at further. Canonicalised records are hashed into classes, so copies are compared once; classes
-    meet through the video, the span's start to the nearest cells, and signatures, are verified exactly,
-    and only then expand into pairs of records.
-    """
+def _linked(records: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The file pairs, the rows with their class ``k``, and the verified links ``video, a, b`` of an evaluation and a training class."""
     spark = records.sparkSession
     ensure_checkpoint_dir(spark)
     pairs = file_pairs(records.select("data_file").distinct(), configs).checkpoint()
@@ -223,6 +219,21 @@ def split_overlaps(records: DataFrame, configs: DataFrame) -> DataFrame:
         .where(_apart("xa", "xb", as_words) <= EDITS)
         .select("video", "a", "b")
     )
+    return pairs, rows, verified
+
+
+def split_overlaps(records: DataFrame, configs: DataFrame) -> DataFrame:
+    """``eval_pos, eval_file, train_pos, train_file``: every evaluation record and a record of a
+    training file of the same config, in another file, that name the same clip and ask the same question.
+
+    ``records(pos, data_file, prompt, metadata, videos)``. Spans may differ by SPAN_SECONDS at each end
+    and questions by EDITS words. Rows without a readable clip or without a word in the prompt match
+    nothing; repeated rows match each on their own. Only rows of clips that lie on both sides are looked
+    at further. Canonicalised records are hashed into classes, so copies are compared once; classes
+    meet through the video, the span's start to the nearest cells, and signatures, are verified exactly,
+    and only then expand into pairs of records.
+    """
+    pairs, rows, verified = _linked(records, configs)
     members = lambda k, role: rows.where(f"is_{role}").select(
         "video", F.col("k").alias(k), F.col("pos").alias(f"{role}_pos"), F.col("data_file").alias(f"{role}_file")
     )
@@ -234,6 +245,30 @@ def split_overlaps(records: DataFrame, configs: DataFrame) -> DataFrame:
     )
 
 
+def overlap_classes(records: DataFrame, configs: DataFrame) -> DataFrame:
+    """``pos, data_file, is_eval, is_train, class_id, n_links``: the rows of ``split_overlaps`` in classes of copies of one clip and question,
+    with the number of classes on the other side that theirs is linked to; its own counts if it lies on both."""
+    _, rows, verified = _linked(records, configs)
+    ends = verified.select("video", F.explode(F.array(F.struct(F.col("a").alias("k"), F.col("b").alias("other")), F.struct(F.col("b").alias("k"), F.col("a").alias("other")))).alias("l"))
+    links = ends.select("video", "l.k", "l.other").distinct().groupBy("video", "k").agg(F.count(F.lit(1)).alias("n_links"))
+    return rows.join(links, ["video", "k"]).select("pos", "data_file", "is_eval", "is_train", F.col("k").alias("class_id"), "n_links")
+
+
+def overlap_counts(records: DataFrame, configs: DataFrame, source: Column) -> DataFrame:
+    """``eval_file, source, n_pairs, n_eval_records`` of ``split_overlaps``, without expanding its pairs.
+
+    Rows shrink to one per class, file and source; linked classes meet, and sizes are multiplied.
+    ``source`` is an expression over ``records``.
+    """
+    pairs, rows, verified = _linked(records, configs)
+    known = records.select("pos", source.alias("source"))
+    sized = lambda k, role, keys: rows.where(f"is_{role}").join(known, "pos").groupBy("video", F.col("k").alias(k), F.col("data_file").alias(f"{role}_file"), *keys).agg(F.count(F.lit(1)).alias(f"n_{role}"))
+    met = verified.join(sized("a", "eval", ["source"]), ["video", "a"]).join(sized("b", "train", []), ["video", "b"]).join(pairs, ["eval_file", "train_file"], "left_semi")
+    # A class of evaluation records counts once however many training classes it meets.
+    by_class = met.groupBy("video", "a", "eval_file", "source", "n_eval").agg(F.sum("n_train").alias("n_train"))
+    return by_class.groupBy("eval_file", "source").agg(F.sum(F.col("n_eval") * F.col("n_train")).alias("n_pairs"), F.sum("n_eval").alias("n_eval_records"))
+
+
 def _apart(a: str, b: str, as_words) -> Column:
     """Edits between two questions: word edits of the stems plus those of the options as bags."""
     same = (F.col(f"{a}.stem") == F.col(f"{b}.stem")) & (F.col(f"{a}.options") == F.col(f"{b}.options"))

@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderloom.llm.mixing import mix_shares, mix_sources
-from cinderloom.llm.overlap import split_overlaps
+from cinderloom.llm.overlap import overlap_classes, overlap_counts, split_overlaps
 from cinderloom.llm.packing import pack_texts, packing_report
 from cinderloom.llm.pairs import broken_pairs
 from cinderloom.llm.residue import residue_documents
 from cinderloom.llm.sampling import category_candidates, proportional_sample, sampling_report
 from cinderloom.llm.tokens import token_counts
+from cinderloom.session import ensure_checkpoint_dir
 from cinderloom.sources.tables import table
 
 
@@ -60,7 +61,9 @@ def _category_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str, targets: DataFrame) -> DataFrame:
-    return category_candidates(_category_items(spark, sf_dir), targets, seed=7)
+    # Used for the rates, the sample and the report; a row is a few numbers.
+    ensure_checkpoint_dir(spark)
+    return category_candidates(_category_items(spark, sf_dir), targets, seed=7).checkpoint()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,18 +95,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping pairs and evaluation records per evaluation file and metadata.source."""
-    source = table(spark, sf_dir, "records").select(
-        F.col("pos").alias("eval_pos"), F.try_variant_get(F.try_parse_json("metadata"), "$.source", "string").alias("source")
-    )
-    return (
-        _overlaps(spark, sf_dir)
-        .groupBy("eval_file", "eval_pos")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(source, "eval_pos", "left")
-        .groupBy("eval_file", F.coalesce("source", F.lit("unknown")).alias("source"))
-        .agg(F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_eval_records"))
-    )
+    """Overlapping pairs and evaluation records per evaluation file and metadata.source, from the sizes of classes."""
+    records = table(spark, sf_dir, "records").select("*", F.try_variant_get(F.try_parse_json("metadata"), "$.source", "string").alias("source"))
+    return overlap_counts(records, table(spark, sf_dir, "data_config"), F.coalesce("source", F.lit("unknown")))
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record that may overlap, with its class and the number of classes it is linked to on the other side."""
+    return overlap_classes(table(spark, sf_dir, "records"), table(spark, sf_dir, "data_config"))
 
 
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,11 +162,13 @@ report as (select t.plan_id, t.category, target_share, need, coalesce(available,
 from t left join a on t.plan_id = a.plan_id and t.category = a.category)
 """
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p4_found": p4_found, "p4_report": p4_report, "p7_found": p7_found, "p7_pack": p7_pack, "p7_report": p7_report, "p8_mix": p8_mix, "p8_shares": p8_shares,
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p4_found": p4_found, "p4_report": p4_report, "p4_classes": p4_classes, "p7_found": p7_found, "p7_pack": p7_pack, "p7_report": p7_report, "p8_mix": p8_mix, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_corpus": p9_corpus}
 SQL = {
     "p3_found": _P3 + "select plan_id, category from report where deficit > 0",
     "p3_report": _P3 + "select * from report",
-    "p3_sample": _P3 + """select plan_id, category, item, pos from (select c.*, need, row_number() over (partition by c.plan_id, c.category
-order by ('0x' || substr(md5('7:' || c.plan_id || ':' || item), 1, 8))::bigint, item) as r from c join t on c.plan_id = t.plan_id and c.category = t.category) where r <= need""",
+    "p3_sample": _P3 + """, d as (select c.*, need, available, ('0x' || substr(md5('7:' || c.plan_id || ':' || item), 1, 8))::bigint >> 22 as bucket,
+('0x' || substr(md5('7:' || c.plan_id || ':' || item), 9, 8))::bigint as h, least(1024, ceil(need / available * 1.1e0 * 1024) + 1) as rate from c join t on c.plan_id = t.plan_id and c.category = t.category join a on c.plan_id = a.plan_id and c.category = a.category),
+e as (select *, sum(case when bucket < rate then 1 else 0 end) over (partition by plan_id, category) as accepted from d)
+select plan_id, category, item, pos from (select *, row_number() over (partition by plan_id, category order by h, item) as r from e where bucket < rate or accepted < need) where r <= need""",
 }

@@ -9,10 +9,10 @@ from pyspark.sql.window import Window as W
 BUCKETS = 1024
 
 
-def draw(*parts: Column | str) -> Column:
-    """A reproducible draw in [0, 2**32) from the parts' MD5; the same in any engine."""
+def draw(*parts: Column | str, nth: int = 0) -> Column:
+    """A reproducible draw in [0, 2**32) from the parts' MD5; the same in any engine. ``nth`` 0 to 3 are independent."""
     text = F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(text), 8 * nth + 1, 8), 16, 10).cast("long")
 
 
 def bucket_of(h: Column) -> Column:
@@ -25,7 +25,9 @@ def category_key(text: Column) -> Column:
 
 
 def category_candidates(items: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
-    """Distinct items of each targeted category: ``plan_id, category, item, pos, h, bucket``.
+    """Distinct items of each targeted category: ``plan_id, category, item, pos, bucket, h``.
+
+    ``bucket`` decides on acceptance, ``h``, an independent draw, on what is cut off again.
 
     ``items(item, pos, field_name, category)``; an item that occurs again counts once, at its first
     ``pos``. Rows with a null item or category count for nothing.
@@ -37,8 +39,8 @@ def category_candidates(items: DataFrame, targets: DataFrame, seed: int) -> Data
         .join(wanted, ["field_name", "category"])
         .groupBy("plan_id", "category", "item")
         .agg(F.min("pos").alias("pos"))
-        .withColumn("h", draw(F.lit(str(seed)), F.col("plan_id"), F.col("item").cast("string")))
-        .withColumn("bucket", bucket_of(F.col("h")))
+        .withColumn("bucket", bucket_of(draw(F.lit(str(seed)), F.col("plan_id"), F.col("item").cast("string"))))
+        .withColumn("h", draw(F.lit(str(seed)), F.col("plan_id"), F.col("item").cast("string"), nth=1))
     )
 
 
@@ -52,57 +54,69 @@ def _plan_needs(targets: DataFrame) -> DataFrame:
     )
 
 
-def category_histogram(candidates: DataFrame) -> DataFrame:
-    return candidates.groupBy("plan_id", "category", "bucket").agg(F.count(F.lit(1)).alias("n"))
+def acceptance(candidates: DataFrame, targets: DataFrame, oversample: float = 1.1) -> DataFrame:
+    """``plan_id, category, target_share, need, available, accept`` of every target.
+
+    ``accept`` is how many of the BUCKETS of the draw are accepted: the need's ratio to what is observed, a
+    little above it. Where the draws of a category happen to fall short even so, all are accepted.
+    """
+    by_category = W.partitionBy("plan_id", "category")
+    needs = _plan_needs(targets)
+    share = F.least(F.lit(float(BUCKETS)), F.ceil(F.col("need") / F.col("available") * F.lit(oversample * BUCKETS)) + 1)
+    counted = (
+        candidates.groupBy("plan_id", "category", "bucket").agg(F.count(F.lit(1)).alias("n"))
+        .join(needs.select("plan_id", "category", "need"), ["plan_id", "category"])
+        .withColumn("available", F.sum("n").over(by_category))
+        .withColumn("accept", share)
+        .groupBy("plan_id", "category", "need", "available", "accept")
+        .agg(F.sum(F.when(F.col("bucket") < F.col("accept"), F.col("n")).otherwise(0)).alias("accepted"))
+        .select("plan_id", "category", "available", F.when(F.col("accepted") >= F.col("need"), F.col("accept")).otherwise(float(BUCKETS)).alias("accept"))
+    )
+    return needs.join(counted, ["plan_id", "category"], "left").withColumn("available", F.coalesce("available", F.lit(0)))
 
 
-def sampling_report(candidates: DataFrame, targets: DataFrame) -> DataFrame:
-    """Each target with what is available, what is taken and what is missing.
+def proportional_sample(candidates: DataFrame, targets: DataFrame, oversample: float = 1.1) -> DataFrame:
+    """The sample: ``plan_id, category, item, pos``; of each target as many as it needs, or all there are.
+
+    Candidates are accepted independently, with a probability a little above the ratio of need to
+    observed. Counts are then made exact: the accepted are counted by buckets of a second draw, and the
+    bucket where the need is reached is cut by rank, so no task ever sorts a whole category.
+    """
+    by_category = W.partitionBy("plan_id", "category")
+    below = by_category.orderBy("cut").rowsBetween(W.unboundedPreceding, -1)
+    rates = acceptance(candidates, targets, oversample).select("plan_id", "category", "need", "accept")
+    accepted = candidates.join(rates, ["plan_id", "category"]).where("bucket < accept").drop("accept").withColumn("cut", bucket_of(F.col("h")))
+    quotas = (
+        accepted.groupBy("plan_id", "category", "need", "cut").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0)))
+        .where("before < need")
+        .select("plan_id", "category", "cut", (F.col("need") - F.col("before")).alias("quota"), "n")
+    )
+    chosen = accepted.drop("need").join(quotas, ["plan_id", "category", "cut"])
+    whole = chosen.where("quota >= n")
+    ranked = W.partitionBy("plan_id", "category", "cut").orderBy("h", "item")
+    last = chosen.where("quota < n").withColumn("_r", F.row_number().over(ranked)).where("_r <= quota").drop("_r")
+    return whole.unionByName(last).select("plan_id", "category", "item", "pos")
+
+
+def sampling_report(candidates: DataFrame, targets: DataFrame, oversample: float = 1.1) -> DataFrame:
+    """Each target with what is available, what the sample took and what it fell short of.
 
     ``plan_id, category, target_share, need, available, taken, deficit``. A category without
     candidates is reported with zeros; empty targets give an empty report.
     """
-    seen = category_histogram(candidates).groupBy("plan_id", "category").agg(F.sum("n").alias("available"))
-    have = F.coalesce("available", F.lit(0))
+    taken = proportional_sample(candidates, targets, oversample).groupBy("plan_id", "category").agg(F.count(F.lit(1)).alias("taken"))
+    have = F.coalesce("taken", F.lit(0))
     return (
-        _plan_needs(targets)
-        .join(seen, ["plan_id", "category"], "left")
+        acceptance(candidates, targets, oversample)
+        .join(taken, ["plan_id", "category"], "left")
         .select(
             "plan_id",
             "category",
             "target_share",
             "need",
-            have.alias("available"),
-            F.least("need", have).alias("taken"),
+            "available",
+            have.alias("taken"),
             F.greatest(F.col("need") - have, F.lit(0)).cast("long").alias("deficit"),
         )
     )
-
-
-def proportional_sample(candidates: DataFrame, targets: DataFrame, oversample: float = 1.1) -> DataFrame:
-    """The sample: ``plan_id, category, item, pos``, exactly ``taken`` rows per target of the report.
-
-    Every category gets an acceptance probability from need to available, a little above the ratio.
-    Candidates are accepted independently by their draw; the histogram of draws says which
-    categories still fell short, and those accept all. Counts are then made exact by cutting at the
-    bucket of draws where the need is reached and ranking within that bucket alone, so no task ever
-    sorts a whole category.
-    """
-    by_category = W.partitionBy("plan_id", "category")
-    below = by_category.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    hist = (
-        category_histogram(candidates)
-        .join(_plan_needs(targets).select("plan_id", "category", "need"), ["plan_id", "category"])
-        .withColumn("available", F.sum("n").over(by_category))
-        .withColumn("accept", F.least(F.lit(float(BUCKETS)), F.ceil(F.col("need") / F.col("available") * F.lit(oversample * BUCKETS)) + 1))
-        .withColumn("accepted", F.sum(F.when(F.col("bucket") < F.col("accept"), F.col("n")).otherwise(0)).over(by_category))
-        .withColumn("accept", F.when(F.col("accepted") >= F.col("need"), F.col("accept")).otherwise(float(BUCKETS)))
-        .withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0)))
-        .where("bucket < accept and before < need")
-        .select("plan_id", "category", "bucket", (F.col("need") - F.col("before")).alias("quota"), "n")
-    )
-    chosen = candidates.join(hist, ["plan_id", "category", "bucket"])
-    whole = chosen.where("quota >= n")
-    ranked = W.partitionBy("plan_id", "category", "bucket").orderBy("h", "item")
-    cut = chosen.where("quota < n").withColumn("_r", F.row_number().over(ranked)).where("_r <= quota").drop("_r")
-    return whole.unionByName(cut).select("plan_id", "category", "item", "pos")
