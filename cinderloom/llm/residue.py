@@ -118,7 +118,7 @@ def _span_finder():
     def made():
         import re
 
-        ascii_slots = [(signs, re.compile(pattern, re.A)) for signs, pattern in slots]
+        ascii_slots = [(sign, re.compile(pattern, re.A)) for signs, pattern in slots for sign in signs]
         patterns = [(least, re.compile(pattern, re.A)) for _, least, pattern in spoken]
         error_objects = [re.compile(p, re.A) for p in objects]
         signs: dict[str, list[int]] = {}
@@ -169,10 +169,13 @@ def _span_finder():
             said = markup.sub("\n", text) if "<" in text else text
             said = code.sub(" ", said) if "`" in said else said
             low = said.lower()
-            out = [(said, m.span()) for signs, p in ascii_slots if any(x in low for x in signs) for m in p.finditer(said)]
+            out = []
+            for sign, p in ascii_slots:
+                if sign in low:
+                    out += [(said, m.span()) for m in p.finditer(said)]
             out += [(low, m.span()) for p in error_objects if '"error"' in low for m in p.finditer(low)]
             plain = quoted.sub(" ", said).lower() if '"' in said or ">" in said or "“" in said else low
-            plain = blanks.sub(" ", plain)
+            plain = blanks.sub(" ", plain) if "  " in plain or "\t" in plain else plain
             count = hits(plain)
             return out + [(plain, m.span()) for k, n in count.items() if n >= patterns[k][0] for m in patterns[k][1].finditer(plain)]
 
@@ -311,20 +314,24 @@ def alike(pairs: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFr
 def near_duplicates(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
     """All verified near-duplicate pairs ``a < b`` of class ids, with ``documents(doc_id, text)``."""
     prints = fingerprints(documents)
-    classes, texts = text_classes(prints, documents)
+    classes = text_classes(prints)
     pairs = neighbours(classes, partitioned_tables(classes), similarity).where("a < b").withColumn("marks", F.expr("cast(array() as array<bigint>)"))
-    return alike(pairs, texts, similarity).select("a", "b")
+    return alike(pairs, class_texts(classes, documents), similarity).select("a", "b")
 
 
-def text_classes(prints: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The classes of copies, ``id, simhash, minima, n, first_doc``, and their texts, ``id, norm``. Texts without words have no class."""
-    classes = prints.groupBy("id").agg(F.first("simhash").alias("simhash"), F.first("minima").alias("minima"), F.first("n").alias("n"), F.min("doc_id").alias("first_doc"))
-    texts = classes.select("id", F.col("first_doc").alias("doc_id")).join(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
-    texts = texts.select("id", masked_words(F.col("text")).alias("norm")).where("norm <> ''")
-    return classes, texts
+def text_classes(prints: DataFrame) -> DataFrame:
+    """The classes of copies, ``id, simhash, minima, n, first_doc``."""
+    return prints.groupBy("id").agg(F.first("simhash").alias("simhash"), F.first("minima").alias("minima"), F.first("n").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-def reach(tables: DataFrame, seeds: DataFrame, texts: DataFrame) -> DataFrame:
+def class_texts(classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """``id, norm``: the masked words of each class, from one of its documents."""
+    firsts = classes.select("id", F.col("first_doc").alias("doc_id"))
+    # A doc_id that occurs again with another text gives that text too; links then hold by either.
+    return firsts.join(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").select("id", masked_words(F.col("text")).alias("norm"))
+
+
+def reach(classes: DataFrame, tables: DataFrame, seeds: DataFrame, documents: DataFrame) -> DataFrame:
     """``id, marks`` of every class in a near-duplicate component that holds one of ``seeds(id, marks)``.
 
     The label goes outward from the seeds, and a link is verified by its texts when the label arrives at
@@ -339,7 +346,7 @@ def reach(tables: DataFrame, seeds: DataFrame, texts: DataFrame) -> DataFrame:
             return known
         wanted = tried.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         pairs = tried.join(frontier.withColumnRenamed("id", "a"), "a")
-        met = alike(pairs, texts.join(wanted, "id", "left_semi"))
+        met = alike(pairs, class_texts(classes.join(wanted, "id", "left_semi"), documents))
         fresh = met.groupBy("b").agg(F.max_by("marks", F.struct(F.size("marks"), "a")).alias("marks")).select(F.col("b").alias("id"), "marks").checkpoint()
         if fresh.isEmpty():
             return known
@@ -361,8 +368,8 @@ def residue_documents(documents: DataFrame) -> DataFrame:
     prints = fingerprints(documents).checkpoint()
     trusted = prints.where("trusted").select("doc_id")
     seeds = prints.where("trusted").groupBy("id").agg(F.max_by("marks", F.size("marks")).alias("marks"))
-    classes, texts = text_classes(prints, documents)
-    reached = reach(partitioned_tables(classes).checkpoint(), seeds, texts)
+    classes = text_classes(prints)
+    reached = reach(classes, partitioned_tables(classes).checkpoint(), seeds, documents)
     arrived = prints.where("not trusted").select("doc_id", "id").join(reached, "id").select("doc_id", (F.size("marks") > 0).alias("shares"))
     # A generator rather than a filter, which would be pushed below the join and try the loose signs on every text.
     counts = F.when(F.col("shares") | weak_residue(F.col("text")), F.array("doc_id"))
