@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cinderloom.operators.flatten import annotation_occurrences, object_store, record_occurrences
 from cinderloom.operators.periods import continuous_periods, seconds_to_ms
-from cinderloom.operators.references import orphan_references
+from cinderloom.operators.references import orphan_counts, orphan_references
 from cinderloom.sources.tables import table
 
 NODE_TABLES = {"phase": "phases", "event": "hier_events", "action": "actions"}
@@ -50,7 +50,8 @@ def _clean_id(name: str):
     return F.lower(F.trim(F.col(name)))
 
 
-def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All references and all their possible targets."""
     targets = None
     for kind, name in NODE_TABLES.items():
         rows = table(spark, sf_dir, name).select(
@@ -75,44 +76,42 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = refs_of(actions, "actions", "parent_event_id").withColumn("kind", F.lit("event"))
     for column in ("from_id", "to_id"):
         refs = refs.unionByName(refs_of(links, "causal_links", column).withColumn("kind", kind))
-    return orphan_references(refs, targets)
+    return refs, targets
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orphans(spark, sf_dir).select("ref_table", "ref_column", "row_id", "reason")
+    return orphan_references(*_references(spark, sf_dir)).select("ref_table", "ref_column", "row_id", "reason")
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphan references per table, column, reason and day of loaded_at."""
-    return (
-        _orphans(spark, sf_dir)
-        .groupBy("ref_table", "ref_column", "reason", F.to_date("loaded_at").cast("string").alias("day"))
-        .agg(F.count(F.lit(1)).alias("n_orphans"))
-    )
+    counts = orphan_counts(*_references(spark, sf_dir))
+    return counts.select("ref_table", "ref_column", "reason", F.col("period").cast("string").alias("day"), "n_orphans")
 
 
-def _occurrences(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return annotation_occurrences(table(spark, sf_dir, "annotations"), whole).unionByName(
-        record_occurrences(table(spark, sf_dir, "records"), whole)
+def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotation_occurrences(table(spark, sf_dir, "annotations"), whole=True).unionByName(
+        record_occurrences(table(spark, sf_dir, "records"), whole=True)
     )
 
 
+#: The nodes of the flat tables; the others of the bridge are documents, levels, wrappers and metadata objects.
+FLAT = ["phase", "event", "action", "message", "ordered_id", "frame_video"]
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        _occurrences(spark, sf_dir)
-        .where("node <> 'grounding'")
-        .select("src", "root_id", "node", "node_id", "parent_id")
-    )
+    """The flat tables' links: the bridge's rows of their nodes."""
+    return p6_bridge(spark, sf_dir).where(F.col("node").isin(FLAT)).select("src", "root_id", "node", "node_id", "parent_id")
 
 
 def p6_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The object store: every distinct object once, with the number of its occurrences."""
-    return object_store(_occurrences(spark, sf_dir, whole=True))
+    return object_store(_occurrences(spark, sf_dir))
 
 
 def p6_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every occurrence: the object, the object that contains it and the place in its array."""
-    return _occurrences(spark, sf_dir, whole=True).select("src", "root_id", "node", "container_id", "object_id", "ordinal")
+    """Every occurrence: its own and its parent's id, the object, the object that contains it and the place in its array."""
+    return _occurrences(spark, sf_dir).select("src", "root_id", "node", "node_id", "parent_id", "container_id", "object_id", "ordinal")
 
 
 _SPANS_SQL = " union all ".join(

@@ -68,3 +68,32 @@ def test_flattening(spark):
     )
     got = sorted((r.root_id, r.node, r.node_id) for r in record_occurrences(records).collect())
     assert got == [("1", "frame_video", 1), ("1", "message", 1), ("1", "ordered_id", 1)]
+
+
+def test_reference_counts_match_rows(spark):
+    from pyspark.sql import functions as F
+
+    from cinderloom.operators.references import orphan_counts
+
+    rng = random.Random(7)
+    days = [None, "2025-01-01 01:00:00", "2025-01-01 09:00:00", "2025-01-02 00:00:00"]
+    refs = [("t", rng.choice("ab"), i, rng.choice(["v", "v", "w", None]), rng.choice(["event", "event", None]), rng.choice(["hot"] * 6 + ["e1", "e2", "e3", None]), rng.choice(days)) for i in range(400)]
+    targets = [("v", "event", x, rng.choice([None, True, False]), rng.choice(days)) for x in ("hot", "e1", "e2") for _ in range(2)] + [("w", "event", "hot", False, days[2])]
+    stamp = lambda df: df.withColumn("loaded_at", F.col("loaded_at").cast("timestamp_ntz"))
+    r = stamp(spark.createDataFrame(refs, "ref_table string, ref_column string, row_id long, video_id string, kind string, id string, loaded_at string"))
+    t = stamp(spark.createDataFrame(targets, "video_id string, kind string, id string, is_deleted boolean, loaded_at string"))
+    states: dict = {}
+    for v, k, i, gone, at in targets:
+        live, first = states.get((v, k, i), (False, None))
+        states[v, k, i] = (live or not gone, first if gone or at is None else min(x for x in (first, at) if x))
+    want = {}
+    for _, c, n, v, k, i, at in refs:
+        live, first = states.get((v, k, i), (None, None))
+        reason = "missing" if live is None else "deleted" if not live else "late" if first and at and first > at else None
+        if reason:
+            want[n] = reason
+    for share in (0.001, 0.2, 1.0):
+        rows = orphan_references(r, t, share)
+        assert {x.row_id: x.reason for x in rows.collect()} == want and rows.count() == len(want)
+        counts = {(x.ref_column, x.reason, x.period): x.n_orphans for x in orphan_counts(r, t, share).collect()}
+        assert counts == {(x.ref_column, x.reason, x.d): x["count"] for x in rows.groupBy("ref_column", "reason", F.to_date("loaded_at").alias("d")).count().collect()}
