@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinderloom.session import ensure_checkpoint_dir
+
 OPEN_WINDOWS = 64
 MERGED_PARTITIONS = 64
+#: Tokens a packer should get, the most packers there are, and the most plans, by which every text is multiplied.
+TOKENS_PER_PARTITION = 8_000_000
+MOST_PARTITIONS = 20_000
+MOST_PLANS = 100
 PLACED = "plan_id string, container string, doc_id long, piece long, n_tokens long, part long, closed boolean"
 
 
@@ -78,7 +83,8 @@ def _merged():
             fill.insert(at, total)
             names.insert(at, onto)
         rows["container"] = rows["container"].map(target)
-        return pd.DataFrame(rows[["plan_id", "container", "doc_id", "piece", "n_tokens"]])
+        rows["half"] = rows.groupby("container")["n_tokens"].transform("sum") * 2 <= capacity
+        return pd.DataFrame(rows[["plan_id", "capacity", "container", "doc_id", "piece", "n_tokens", "half"]])
 
     return merge
 
@@ -90,11 +96,13 @@ def pack_texts(sizes: DataFrame, plans: DataFrame, windows: int = OPEN_WINDOWS,
     split. Texts of 0 or null tokens, and plans with a null or non-positive capacity, are left out.
     Bounded-space online packing: every partition keeps ``windows`` open containers a plan, places each
     item best-fit, and closes the fullest when none fits. Containers still open at the end are
-    merged with those of neighbouring partitions, at most ``windows`` times MERGED_PARTITIONS to a task.
-    A container's contents depend only on the sizes, the plans and the number of partitions.
+    merged with those of neighbouring partitions, at most ``windows`` times MERGED_PARTITIONS to a task; what
+    is then not half full, a container or so of each such block, is merged once more. The
+    number of packers follows from the tokens, so contents depend on sizes and plans alone.
     """
-    spark = sizes.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(sizes.sparkSession)
+    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
+    parts = partitions or max(1, min(MOST_PARTITIONS, -(-total // TOKENS_PER_PARTITION)))
     capacity = F.col("capacity_tokens").cast("long")
     items = sizes.where("n_tokens > 0").withColumn("plan", F.explode(_plan_list(plans)))
     n, cap = F.col("n_tokens"), F.col("plan.capacity")
@@ -109,22 +117,27 @@ def pack_texts(sizes: DataFrame, plans: DataFrame, windows: int = OPEN_WINDOWS,
     placed = (
         spread.repartition(parts, "doc_id").sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "plan_id", "piece")
         .mapInPandas(_packed(windows), PLACED)
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        .checkpoint()
     )
     columns = ["plan_id", "container", "doc_id", "piece", "n_tokens"]
+    merged = "plan_id string, capacity long, container string, doc_id long, piece long, n_tokens long, half boolean"
     left = (
         placed.where("not closed")
         .join(plans.select("plan_id", capacity.alias("capacity")), "plan_id")
         .withColumn("block", F.floor(F.col("part") / F.lit(MERGED_PARTITIONS)))
         .groupBy("plan_id", "block")
-        .applyInPandas(_merged(), "plan_id string, container string, doc_id long, piece long, n_tokens long")
+        .applyInPandas(_merged(), merged)
+        .checkpoint()
     )
-    return placed.where("closed").select(columns).unionByName(left.select(columns))
+    last = left.where("half").groupBy("plan_id").applyInPandas(_merged(), merged)
+    return placed.where("closed").select(columns).unionByName(left.where("not half").select(columns)).unionByName(last.select(columns))
 
 
 def _plan_list(plans: DataFrame):
-    """The plans as one array literal: settings, a handful of rows, read on the driver."""
-    rows = plans.where("capacity_tokens > 0 and plan_id is not null").select("plan_id", F.col("capacity_tokens").cast("long")).collect()
+    """The plans as one array literal: settings, a handful of rows, read on the driver; more than MOST_PLANS are refused."""
+    rows = plans.where("capacity_tokens > 0 and plan_id is not null").select("plan_id", F.col("capacity_tokens").cast("long")).limit(MOST_PLANS + 1).collect()
+    if len(rows) > MOST_PLANS:
+        raise ValueError(f"more than {MOST_PLANS} plans")
     made = [F.struct(F.lit(r[0]).alias("plan_id"), F.lit(r[1]).cast("long").alias("capacity")) for r in rows]
     return F.array(*made) if made else F.expr("cast(array() as array<struct<plan_id:string,capacity:bigint>>)")
 

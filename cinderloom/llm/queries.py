@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,7 +106,9 @@ def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every text or piece, for each plan."""
-    return pack_texts(token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_plans"))
+    ensure_checkpoint_dir(spark)
+    # Sizes are summed up before they are packed.
+    return pack_texts(token_counts(table(spark, sf_dir, "documents")).checkpoint(), table(spark, sf_dir, "pack_plans"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +122,8 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    sizes = token_counts(documents).persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(spark)
+    sizes = token_counts(documents).checkpoint()
     return documents.select("doc_id", "source", "lang", F.col("domain_l1").alias("domain")).join(sizes, "doc_id")
 
 
