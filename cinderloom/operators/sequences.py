@@ -77,21 +77,34 @@ def f1_of(total: Column, n_a: Column, n_b: Column) -> Column:
     return F.when((n_a > 0) & (n_b > 0), F.lit(2.0) * total / (n_a + n_b)).otherwise(0.0)
 
 
-def best_assignment_sum(a: Column, b: Column) -> Column:
-    """Largest sum of IoU over one-to-one pairings, by shortest augmenting paths; an Arrow-batched function."""
+def best_assignment_sum(a: Column, b: Column, general: bool = False, margin: float = 0.0) -> Column:
+    """Largest sum of IoU over one-to-one pairings, by shortest augmenting paths; an Arrow-batched function.
+
+    With ``general`` the scores are generalised IoU moved to [0, 1], of the better of ``b``'s segment and the same
+    ``margin`` wider at both ends, but not below 0.
+    """
 
     @F.pandas_udf("double")
     def solve(left, right):
         import numpy as np
         import pandas as pd
 
+        def scores(p, q):
+            inter = np.clip(np.minimum(p[:, None, 1], q[None, :, 1]) - np.maximum(p[:, None, 0], q[None, :, 0]), 0, None)
+            union = (p[:, 1] - p[:, 0])[:, None] + (q[:, 1] - q[:, 0])[None, :] - inter
+            if not general:
+                return inter / union
+            hull = np.maximum(p[:, None, 1], q[None, :, 1]) - np.minimum(p[:, None, 0], q[None, :, 0])
+            return (inter / union - (hull - union) / hull + 1) / 2
+
         def best(xs, ys) -> float:
             if xs is None or ys is None or not len(xs) or not len(ys):
                 return 0.0
-            rows, cols = (xs, ys) if len(xs) <= len(ys) else (ys, xs)
-            p, q = np.array([list(s) for s in rows], float), np.array([list(s) for s in cols], float)
-            inter = np.clip(np.minimum(p[:, None, 1], q[None, :, 1]) - np.maximum(p[:, None, 0], q[None, :, 0]), 0, None)
-            cost = -inter / ((p[:, 1] - p[:, 0])[:, None] + (q[:, 1] - q[:, 0])[None, :] - inter)
+            p, q = np.array([list(s) for s in xs], float), np.array([list(s) for s in ys], float)
+            cost = -scores(p, q)
+            if general and margin:
+                cost = np.minimum(cost, -scores(p, np.stack([np.maximum(q[:, 0] - margin, 0), q[:, 1] + margin], axis=1)))
+            cost = cost if len(xs) <= len(ys) else cost.T
             n, m = cost.shape
             dual_row, dual_col, owner = np.zeros(n + 1), np.zeros(m + 1), np.full(m + 1, -1)
             for i in range(n):

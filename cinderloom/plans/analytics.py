@@ -29,7 +29,6 @@ TEXT = {
     # joins
     "lookup_left": f"with {LIVE_E} select a.row_id, e.label as event_label, case when e.id is null then 1 else 0 end as is_missing from actions a left join ev e on a.video_id = e.video_id and lower(trim(a.parent_event_id)) = lower(trim(e.id))",
     "lookup_inner": f"with {LIVE_E}, {LIVE_P} select e.row_id, e.label as event_label, p.label as phase_label from ev e join ph p on e.video_id = p.video_id and lower(trim(e.parent_phase_id)) = lower(trim(p.id))",
-    "resume_anti": "select r.row_id from rollouts r left join (select distinct data_type, problem_type from records) k on r.data_type = k.data_type and r.problem_type = k.problem_type where k.problem_type is null",
     # Input minus processed by content: the records, with their place, that no rollout answers.
     "resume_remaining": "select pos from records r where not exists (select 1 from rollouts o where o.prompt is not distinct from r.prompt and o.ground_truth is not distinct from r.answer)",
     "content_semi": "select pos from records r where exists (select 1 from rollouts o where o.prompt = r.prompt and o.ground_truth = r.answer)",
@@ -114,12 +113,6 @@ select doc_id, d.source from (select doc_id, source, row_number() over (partitio
     "phase_span": f"select video_id, lower(trim(parent_phase_id)) as phase_id, {r9('min(start_time)')} as s, {r9('max(end_time)')} as e, count(*) as n from hier_events where not coalesce(is_deleted, false) and {SPANS} group by video_id, lower(trim(parent_phase_id))",
     "asof_last": f"with {OK} select step, {r9('last_val')} as last_val from (select s.step, max(v.step) as vs from (select distinct step from rollouts) s left join (select distinct step from ok where phase = 'val') v on v.step <= s.step group by s.step) x left join (select step as k, avg(reward) as last_val from ok where phase = 'val' group by step) y on x.vs = y.k",
     # parsing and scores
-    "choice_letter": "select row_id, nullif(regexp_extract(response, '<answer>[ (]*([A-F])', 1), '') as letter, case when regexp_extract(response, '<answer>[ (]*([A-F])', 1) = ground_truth then 1 else 0 end as is_match from rollouts where problem_type = 'llava_mcq' and response is not null",
-    "parse_pair": f"select row_id, cast(nullif(regexp_extract(response, '([0-9]+[.][0-9]+)[^0-9.]+([0-9]+[.][0-9]+)', 1), '') as double) as s, cast(nullif(regexp_extract(response, '([0-9]+[.][0-9]+)[^0-9.]+([0-9]+[.][0-9]+)', 2), '') as double) as e from rollouts where problem_type = 'temporal_grounding' and response is not null",
-    "iou_reward": f"""with p as (select row_id, cast(nullif(regexp_extract(response, '([0-9]+[.][0-9]+) (-|to|y|und|a|et|e) [^0-9.]*([0-9]+[.][0-9]+)', 1), '') as double) as s, cast(nullif(regexp_extract(response, '([0-9]+[.][0-9]+) (-|to|y|und|a|et|e) [^0-9.]*([0-9]+[.][0-9]+)', 3), '') as double) as e,
-cast(nullif(regexp_extract(ground_truth, '([0-9]+[.][0-9]+) - ([0-9]+[.][0-9]+)', 1), '') as double) as gs, cast(nullif(regexp_extract(ground_truth, '([0-9]+[.][0-9]+) - ([0-9]+[.][0-9]+)', 2), '') as double) as ge from rollouts where problem_type = 'temporal_grounding' and response is not null and ground_truth is not null)
-select row_id, {r9('greatest(0e0, least(e, ge) - greatest(s, gs)) / (greatest(e, ge) - least(s, gs))')} as iou, {r9('((least(e, ge) - greatest(s, gs)) / (greatest(e, ge) - least(s, gs)) + 1e0) / 2e0')} as ngiou from p where s < e and gs < ge""",
-    "jigsaw": "select row_id, cast(sum(case when substring(regexp_extract(response, '<answer>([0-9]+)</answer>', 1), cast(i as int), 1) = substring(ground_truth, cast(i as int), 1) then 1 else 0 end) as bigint) as n_right, count(*) as n from (select row_id, response, ground_truth from rollouts where problem_type = 'event_logic_sort' and response is not null and length(ground_truth) between 2 and 9) r join (select distinct pos as i from records where pos between 1 and 9) k on k.i <= length(r.ground_truth) group by row_id",
     "mmss": "select doc_id, cast(regexp_extract(text, '^.([0-9]+):([0-9]+).', 1) as bigint) * 60 + cast(regexp_extract(text, '^.([0-9]+):([0-9]+).', 2) as bigint) as sec from documents where source = 'stream_chat' and regexp_extract(text, '^.([0-9]+):([0-9]+).', 2) <> ''",
     "path_stem": "select ann_id, regexp_extract(video_path, '([^/]+)[.][a-z0-9]+$', 1) as stem from annotations where video_path is not null",
     "content_hash": "select pos, substring(md5(concat(coalesce(prompt, ''), '|', coalesce(answer, ''))), 1, 12) as h from records",

@@ -36,3 +36,19 @@ def sql_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def oracle_text(text: str) -> str:
     return re.sub(r"\bpercentile\(", "quantile_cont(", text)
+
+
+_N = r"([0-9]*\.?[0-9]+)"
+_WORDINGS = [
+    rf"(?is)The\s+event(?:\s+['\"“].*?['\"”])?\s+happens\s+in\s+(?:the\s+)?{_N}\s*-\s*{_N}\s*seconds?".replace("'", "''"),
+    rf"(?i){_N}\s*-\s*{_N}\s*seconds?",
+    r"(?i)([0-9]+\.?[0-9]*)\s+(?:to|and)\s+([0-9]+\.?[0-9]*)",
+]
+
+
+def pair_sql(text: str, g: int) -> str:
+    """The cascade as SQL: the wordings in the text, then in its answer, then the first bracketed pair of its events."""
+    answer, events = f"regexp_extract({text}, '(?s)<answer>(.*?)</answer>', 1)", f"regexp_extract({text}, '(?s)<events>(.*?)</events>', 1)"
+    tried = [(t, w) for t in (text, answer) for w in _WORDINGS] + [(events, rf"\[\s*{_N}\s*,\s*{_N}\s*\]")]
+    number = lambda t, w, k: f"try_cast(nullif(regexp_extract({t}, '{w}', {k}), '') as double)"
+    return "case " + " ".join(f"when {number(t, w, 1)} < {number(t, w, 2)} then {number(t, w, g)}" for t, w in tried) + " end"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderloom.plans.catalog import r9
+from cinderloom.plans.catalog import pair_sql, r9
 from cinderloom.sources.tables import table
 
 #: Task types scored by an option's letter, beside all those that begin with ``seg_aot_``.
@@ -137,4 +137,26 @@ def jigsaw_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (choice_answers, grounding_reward, jigsaw_displacement)}
-SQL = {}
+
+_W = r"[^\p{L}\p{M}\p{N}_]"
+_ALONE = rf"(?s)^(?:.*{_W})?([A-Za-z])(?:{_W}.*)?$"
+_TAG = r"nullif(regexp_extract({t}, '(?is)^.*<answer>\s*(.*?)\s*</answer>', 1), '')"
+_HAS = r"regexp_matches({t}, '(?is)<answer>\s*(.*?)\s*</answer>')"
+_FIRST = "nullif(regexp_extract(t, '{}', 1), '')"
+_PAIRS = {(side, k): pair_sql(f"coalesce({side}, '')", k) for side in ("response", "ground_truth") for k in (1, 2)}
+_TWICE = " or ".join(f"len(regexp_extract_all(coalesce(response, ''), '{tag}')) > 1" for tag in ("<answer>", "</answer>", "<events>", "</events>"))
+SQL = {
+    "choice_answers": rf"""with r as (select row_id, problem_type, coalesce(response, '') as t, upper(regexp_replace(coalesce(ground_truth, ''), '^\s+|\s+$', '', 'g')) as g from rollouts where problem_type in ('llava_mcq', 'event_logic_predict_next', 'event_logic_fill_blank') or starts_with(problem_type, 'seg_aot_')),
+l as (select *, case when {_HAS.format(t="t")} then 1 else 0 end as has_tag, {_TAG.format(t="t")} as tag, regexp_extract_all(' ' || regexp_replace(t, '{_W}+', '  ', 'g') || ' ', ' ([A-E]) ', 1) as lone from r),
+f as (select *, upper(coalesce(nullif(regexp_extract(tag, '{_ALONE}', 1), ''), nullif(regexp_extract(t, '{_ALONE}', 1), ''))) as letter,
+upper(coalesce({_FIRST.format(r"(?i)<answer>\s*([A-Za-z])\s*</answer>")}, {_FIRST.format(r"(?i)(?:answer|option)\s+(?:is|:)\s*([A-Za-z])")}, {_FIRST.format(r"^\s*([A-Za-z])[\s.):]")}, case when len(lone) = 1 then lone[1] end)) as mcq_letter from l)
+select row_id, problem_type, letter, mcq_letter, has_tag, coalesce(cast(letter = g as int), 0) as is_match from f""",
+    "jigsaw_displacement": rf"""with r as (select row_id, regexp_extract_all(coalesce(ground_truth, ''), '[0-9]') as g, regexp_extract_all(coalesce({_TAG.format(t="coalesce(response, '')")}, ''), '[0-9]') as q from rollouts where problem_type in ('event_logic_sort', 'sort')),
+f as (select *, list_slice(list_concat(q, list_slice(list_filter(g, lambda x: not list_contains(q, x)), 1, greatest(len(g) - len(q), 0))), 1, len(g)) as p from r),
+c as (select *, list_sum(list_transform(p, lambda x, i: case when list_contains(g, x) then abs(i - (len(g) + 1 - list_position(list_reverse(g), x))) else len(g) - 1 end)) as cost, len(list_filter(p, lambda x, i: g[i] = x)) as same from f)
+select row_id, len(g) as n, case when len(q) < 2 then 0 else same end as n_right, {r9("case when len(g) < 2 or len(q) < 2 then 0e0 when p = g then 1e0 else greatest(0e0, 1e0 - cost / floor(len(g) * len(g) / 2e0)) end")} as reward from c""",
+    "grounding_reward": rf"""with d as (select m->>'$.id' as problem_id, max(try_cast(m->>'$.duration' as double)) as duration from (select metadata::json as m from records where problem_type = 'temporal_grounding' and json_valid(metadata)) a where m->>'$.id' is not null and try_cast(m->>'$.duration' as double) > 0 group by 1),
+r as (select row_id, problem_id, {_PAIRS["response", 1]} as s, {_PAIRS["response", 2]} as e, {_PAIRS["ground_truth", 1]} as gs, {_PAIRS["ground_truth", 2]} as ge, ({_TWICE}) or regexp_matches(coalesce(response, ''), '\[[0-9]+-[0-9]+\]') as hack from rollouts where problem_type = 'temporal_grounding'),
+i as (select row_id, s, e, gs, ge, hack, case when s is null or gs is null then 0e0 else greatest(0e0, least(e, ge) - greatest(s, gs)) / (greatest(e, ge) - least(s, gs)) end as iou, case when duration > 0 and s is not null and gs is not null then greatest(0e0, (1 - abs(gs - s) / duration) * (1 - abs(ge - e) / duration)) else 1e0 end as penalty from r left join d using (problem_id))
+select row_id, s, e, gs, ge, {r9("iou")} as iou, {r9("penalty")} as penalty, case when hack then 0e0 else {r9("iou * penalty")} end as reward from i""",
+}
