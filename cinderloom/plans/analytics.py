@@ -88,7 +88,6 @@ select row_id, phase_row, {r9('dist')} as dist from (select *, row_number() over
     "longest_fill": "select doc_id from (select doc_id, row_number() over (order by n_chars desc, doc_id) as rn from documents where source <> 'howto_transcript') t where rn <= (select count(*) from documents where source = 'forum_answer')",
     # sampling
     "sample_n": f"select pos from records order by {ORDER_KEY}, pos limit 100",
-    "stratified": f"select pos, problem_type from (select pos, problem_type, row_number() over (partition by problem_type order by {ORDER_KEY}, pos) as rn, count(*) over (partition by problem_type) as n_g, count(*) over () as n from records) t where rn <= floor(200e0 * n_g / n + 0.5e0)",
     "quota_overflow": f"""with c as (select source, count(*) as n from documents where source is not null group by source),
 q as (select source, n, least(n, cast(floor(400e0 / (select count(*) from c)) as bigint)) as base from c),
 o as (select source, n, base, n - base as avail, 400 - sum(base) over () as over_all, coalesce(sum(n - base) over (order by n desc, source rows between unbounded preceding and 1 preceding), 0) as before from q),
@@ -98,14 +97,11 @@ select doc_id, d.source from (select doc_id, source, row_number() over (partitio
     "largest_class": "select pos, problem_type from (select pos, problem_type, row_number() over (partition by problem_type order by " + ORDER_KEY + ", pos) as rn, count(*) over (partition by problem_type) as n from records where problem_type is not null) t where n < (select max(c) from (select count(*) as c from records where problem_type is not null group by problem_type) m) or rn <= floor(n * 0.5e0)",
     "cell_cap": "select pos from (select pos, row_number() over (partition by problem_type, data_file order by " + ORDER_KEY + ", pos) as rn from records) t where rn <= 5",
     "split_coverage": "select pos, case when rn = 1 and n > 1 then 'val' when rn <= floor(n * 0.1e0) then 'val' else 'train' end as side from (select pos, row_number() over (partition by problem_type order by " + ORDER_KEY + ", pos) as rn, count(*) over (partition by problem_type) as n from records) t",
-    "rebalance_binary": "select pos, case when answer = maj and rn <= floor(abs(na - nb) / 2e0) then (case when answer = 'A' then 'B' else 'A' end) else answer end as new_answer from (select pos, answer, na, nb, case when na >= nb then 'A' else 'B' end as maj, row_number() over (partition by answer order by " + ORDER_KEY + ", pos) as rn from (select pos, answer, sum(case when answer = 'A' then 1 else 0 end) over () as na, sum(case when answer = 'B' then 1 else 0 end) over () as nb from records where problem_type = 'seg_aot_event_dir_binary' and answer in ('A', 'B')) a) b",
-    "alternate": "select pos, cast((row_number() over (order by md5(concat(coalesce(prompt, ''), ':', cast(pos as string))), pos)) % 2 as bigint) as side from records",
     "batch_plan": "select problem_type, n, cast(greatest(1, least(floor(n / 16e0), floor(total / 16e0 * n / total))) as bigint) as n_batches from (select problem_type, n, sum(n) over () as total from (select problem_type, count(*) as n from records where problem_type is not null group by problem_type) a) b",
     "balance_report": "select shard, count(*) as n, cast(sum(response_length) as bigint) as total_len, max(response_length) as max_len from (select response_length, cast(row_id % 8 as bigint) as shard from rollouts) t group by shard",
     # windows
     "grpo": f"with {OK} select row_id, {r9('(reward - m) / (sd + 1e-6)')} as advantage from (select row_id, reward, avg(reward) over (partition by uid) as m, stddev_samp(reward) over (partition by uid) as sd, count(*) over (partition by uid) as n from ok) t where n > 1",
     "rloo": f"with {OK} select row_id, {r9('reward - (s - reward) / (n - 1)')} as advantage from (select row_id, reward, sum(reward) over (partition by uid) as s, count(*) over (partition by uid) as n from ok) t where n > 1",
-    "remax": f"with {OK} select o.row_id, {r9('o.reward - b.base')} as advantage from ok o join (select uid, max(reward) as base from ok group by uid) b on o.uid = b.uid",
     "gap_overlap": f"select video_id, row_id, case when prev is null then 'first' when start_time < prev then 'overlap' when start_time > prev then 'gap' else 'adjacent' end as state from (select video_id, row_id, start_time, lag(end_time) over (partition by video_id order by start_time, end_time, row_id) as prev from actions where not coalesce(is_deleted, false) and {SPANS}) t",
     "rolling_share": f"select step, {r9('''avg(share) over (order by step rows between 4 preceding and current row)''')} as rolling from (select step, avg(case when problem_type = 'llava_mcq' then 1e0 else 0e0 end) as share from rollouts group by step) t",
     "tail_slope": f"with {OK} select problem_type, {r9('max(case when rk_last = 1 then m end) - max(case when rk_first = 1 then m end)')} as delta, {r9('min(m)')} as lo, {r9('max(m)')} as hi from (select problem_type, step, m, row_number() over (partition by problem_type order by step) as rk_first, row_number() over (partition by problem_type order by step desc) as rk_last from (select problem_type, step, avg(reward) as m from ok group by problem_type, step) a) b group by problem_type",
