@@ -48,8 +48,6 @@ select row_id, phase_row, {r9('dist')} as dist from (select *, row_number() over
     "ratio_of_total": f"select problem_type, n, {r9('n * 1e0 / sum(n) over ()')} as ratio from (select problem_type, count(*) as n from records group by problem_type) t",
     "group_stats": f"with {GROUPS} select uid, problem_type, n, {r9('mean_reward')} as mean_reward, {r9('lo')} as lo, {r9('hi')} as hi, {r9('sd')} as sd from grp",
     "two_level_mean": f"with {GROUPS} select problem_type, count(*) as n_groups, {r9('avg(mean_reward)')} as mean_of_means, {r9('sum(mean_reward * n) / sum(n)')} as pooled from grp group by problem_type",
-    "percentiles": f"with {OK} select problem_type, {r9('percentile(reward, 0.1)')} as p10, {r9('percentile(reward, 0.5)')} as p50, {r9('percentile(reward, 0.9)')} as p90 from ok group by problem_type",
-    "lower_median": f"with {OK} select problem_type, {r9('min(reward)')} as median_reward from (select problem_type, reward, row_number() over (partition by problem_type order by reward, row_id) as rn, count(*) over (partition by problem_type) as n from ok) t where rn >= floor(n / 2e0) + 1 group by problem_type",
     "group_summary": f"with {OK} select problem_type, count(*) as n, count(distinct uid) as n_groups, {r9('avg(reward)')} as mean_reward, {r9('percentile(reward, 0.25)')} as q1, {r9('percentile(reward, 0.75)')} as q3 from ok group by problem_type",
     "threshold_sweep": f"with {GROUPS} select problem_type, cast(floor(least(mean_reward, 0.999999e0) / 0.05e0) as bigint) as k, count(*) as n, cast(sum(count(*)) over (partition by problem_type order by floor(least(mean_reward, 0.999999e0) / 0.05e0) desc) as bigint) as n_at_least from grp group by problem_type, floor(least(mean_reward, 0.999999e0) / 0.05e0)",
     "score_bins_2d": f"with {OK} select problem_type, cast(floor(least(reward, 0.999999e0) / 0.1e0) as bigint) as bin, count(*) as n from ok where reward >= 0 group by problem_type, floor(least(reward, 0.999999e0) / 0.1e0)",
@@ -107,7 +105,6 @@ select doc_id, d.source from (select doc_id, source, row_number() over (partitio
     "tail_slope": f"with {OK} select problem_type, {r9('max(case when rk_last = 1 then m end) - max(case when rk_first = 1 then m end)')} as delta, {r9('min(m)')} as lo, {r9('max(m)')} as hi from (select problem_type, step, m, row_number() over (partition by problem_type order by step) as rk_first, row_number() over (partition by problem_type order by step desc) as rk_last from (select problem_type, step, avg(reward) as m from ok group by problem_type, step) a) b group by problem_type",
     "renumber": f"select row_id, cast(row_number() over (partition by video_id order by start_time, end_time, row_id) as bigint) as new_id from hier_events where not coalesce(is_deleted, false) and {SPANS}",
     "phase_span": f"select video_id, lower(trim(parent_phase_id)) as phase_id, {r9('min(start_time)')} as s, {r9('max(end_time)')} as e, count(*) as n from hier_events where not coalesce(is_deleted, false) and {SPANS} group by video_id, lower(trim(parent_phase_id))",
-    "asof_last": f"with {OK} select step, {r9('last_val')} as last_val from (select s.step, max(v.step) as vs from (select distinct step from rollouts) s left join (select distinct step from ok where phase = 'val') v on v.step <= s.step group by s.step) x left join (select step as k, avg(reward) as last_val from ok where phase = 'val' group by step) y on x.vs = y.k",
     # parsing and scores
     "mmss": "select doc_id, cast(regexp_extract(text, '^.([0-9]+):([0-9]+).', 1) as bigint) * 60 + cast(regexp_extract(text, '^.([0-9]+):([0-9]+).', 2) as bigint) as sec from documents where source = 'stream_chat' and regexp_extract(text, '^.([0-9]+):([0-9]+).', 2) <> ''",
     "path_stem": "select ann_id, regexp_extract(video_path, '([^/]+)[.][a-z0-9]+$', 1) as stem from annotations where video_path is not null",
