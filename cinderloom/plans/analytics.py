@@ -77,13 +77,11 @@ select row_id, phase_row, {r9('dist')} as dist from (select *, row_number() over
     "set_difference": "select distinct clip_key from annotations where clip_key is not null except select distinct clip_key from documents where clip_key is not null",
     "set_overlap": "select clip_key from annotations where clip_key is not null intersect select clip_key from documents where clip_key is not null",
     # order
-    "rank_sort": "select doc_id, cast(row_number() over (order by case when source = 'howto_transcript' then 0 when source = 'clip_caption' then 1 when source is null then 3 else 2 end, n_chars desc, doc_id) as bigint) as rank_no from documents",
     "cap_per_group": "select doc_id, source from (select doc_id, source, row_number() over (partition by source order by n_chars desc, doc_id) as rn from documents) t where rn <= 20 or source in ('run_log', 'subtitle_fix')",
     "page": "select row_id, uid, step from rollouts order by step desc, row_id limit 25 offset 50",
     "best_per_pair": f"with {OK} select problem_id, phase, row_id, {r9('reward')} as reward from (select problem_id, phase, row_id, reward, row_number() over (partition by problem_id, phase order by reward desc, step desc, row_id) as rk from ok where problem_id is not null) t where rk = 1",
     "round_robin_shard": "select pos from records where pos % 8 = 3",
     "stride_steps": "select distinct step from rollouts where step % 10 = 0 or step = (select max(step) from rollouts)",
-    "longest_fill": "select doc_id from (select doc_id, row_number() over (order by n_chars desc, doc_id) as rn from documents where source <> 'howto_transcript') t where rn <= (select count(*) from documents where source = 'forum_answer')",
     # sampling
     "sample_n": f"select pos from records order by {ORDER_KEY}, pos limit 100",
     "quota_overflow": f"""with c as (select source, count(*) as n from documents where source is not null group by source),
