@@ -77,22 +77,13 @@ select row_id, phase_row, {r9('dist')} as dist from (select *, row_number() over
     "set_difference": "select distinct clip_key from annotations where clip_key is not null except select distinct clip_key from documents where clip_key is not null",
     "set_overlap": "select clip_key from annotations where clip_key is not null intersect select clip_key from documents where clip_key is not null",
     # order
-    "cap_per_group": "select doc_id, source from (select doc_id, source, row_number() over (partition by source order by n_chars desc, doc_id) as rn from documents) t where rn <= 20 or source in ('run_log', 'subtitle_fix')",
     "page": "select row_id, uid, step from rollouts order by step desc, row_id limit 25 offset 50",
     "best_per_pair": f"with {OK} select problem_id, phase, row_id, {r9('reward')} as reward from (select problem_id, phase, row_id, reward, row_number() over (partition by problem_id, phase order by reward desc, step desc, row_id) as rk from ok where problem_id is not null) t where rk = 1",
     "round_robin_shard": "select pos from records where pos % 8 = 3",
     "stride_steps": "select distinct step from rollouts where step % 10 = 0 or step = (select max(step) from rollouts)",
     # sampling
     "sample_n": f"select pos from records order by {ORDER_KEY}, pos limit 100",
-    "quota_overflow": f"""with c as (select source, count(*) as n from documents where source is not null group by source),
-q as (select source, n, least(n, cast(floor(400e0 / (select count(*) from c)) as bigint)) as base from c),
-o as (select source, n, base, n - base as avail, 400 - sum(base) over () as over_all, coalesce(sum(n - base) over (order by n desc, source rows between unbounded preceding and 1 preceding), 0) as before from q),
-f as (select source, base + greatest(0, least(avail, over_all - before)) as quota from o)
-select doc_id, d.source from (select doc_id, source, row_number() over (partition by source order by md5(concat('s2:', cast(doc_id as string))), doc_id) as rn from documents) d join f on d.source = f.source where rn <= quota""",
-    "round_robin_domains": "select pos, problem_type from (select pos, problem_type, row_number() over (partition by problem_type order by " + ORDER_KEY + ", pos) as rn from records where problem_type is not null) t order by rn, problem_type, pos limit 120",
-    "largest_class": "select pos, problem_type from (select pos, problem_type, row_number() over (partition by problem_type order by " + ORDER_KEY + ", pos) as rn, count(*) over (partition by problem_type) as n from records where problem_type is not null) t where n < (select max(c) from (select count(*) as c from records where problem_type is not null group by problem_type) m) or rn <= floor(n * 0.5e0)",
     "cell_cap": "select pos from (select pos, row_number() over (partition by problem_type, data_file order by " + ORDER_KEY + ", pos) as rn from records) t where rn <= 5",
-    "split_coverage": "select pos, case when rn = 1 and n > 1 then 'val' when rn <= floor(n * 0.1e0) then 'val' else 'train' end as side from (select pos, row_number() over (partition by problem_type order by " + ORDER_KEY + ", pos) as rn, count(*) over (partition by problem_type) as n from records) t",
     "batch_plan": "select problem_type, n, cast(greatest(1, least(floor(n / 16e0), floor(total / 16e0 * n / total))) as bigint) as n_batches from (select problem_type, n, sum(n) over () as total from (select problem_type, count(*) as n from records where problem_type is not null group by problem_type) a) b",
     "balance_report": "select shard, count(*) as n, cast(sum(response_length) as bigint) as total_len, max(response_length) as max_len from (select response_length, cast(row_id % 8 as bigint) as shard from rollouts) t group by shard",
     # windows

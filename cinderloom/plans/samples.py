@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cinderloom.operators import quotas as Q
+from cinderloom.operators.batches import positions
+from cinderloom.operators.lookups import values_at_ranks
 from cinderloom.session import ensure_checkpoint_dir
 from cinderloom.sources.tables import table
 
@@ -166,10 +168,61 @@ def remax(spark: SparkSession, sf_dir: str):
     return ok.join(base, "uid").select("row_id", (F.floor((F.col("reward") - F.col("base")) * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)).alias("advantage"))
 
 
+def quota_overflow(spark: SparkSession, sf_dir: str):
+    """400 documents, evenly over the sources, what small ones lack from the largest first."""
+    d = table(spark, sf_dir, "documents").where("source is not null").select("doc_id", "source", Q.order_hash("s2", "doc_id").alias("h"))
+    return Q.take(d, Q.even_quotas(Q.group_counts(d, ["source"]), [], "source", F.lit(400)), ["source"], "h", "doc_id").select("doc_id", "source")
+
+
+def round_robin_domains(spark: SparkSession, sf_dir: str):
+    """120 records, one of each type in turn."""
+    items = _items(spark, sf_dir).where("kind <> 'unknown'").select("pos", "kind", "h")
+    # No type can give more than the target, so only the first of each are numbered.
+    first = Q.take(items, items.select("kind").distinct().withColumn("quota", F.lit(120)), ["kind"], "h", "pos")
+    return Q.numbered(first, ["kind"], "h", "pos").orderBy("rn", "kind").limit(120).select("pos", "kind")
+
+
+def largest_class(spark: SparkSession, sf_dir: str):
+    """Only the largest type is halved, by taking its domains in turn."""
+    items = _items(spark, sf_dir).where("kind <> 'unknown'").select("pos", "kind", "l1", "h")
+    largest = Q.group_counts(items, ["kind"]).orderBy(F.desc("n"), "kind").limit(1).select("kind", F.floor(F.col("n") / 2).alias("half"))
+    inside = Q.numbered(items.join(F.broadcast(largest), "kind"), ["l1"], "h", "pos")
+    kept = positions(inside, [F.col("rn"), F.col("l1"), F.col("pos")]).where("position < half").select("pos", "kind")
+    return items.join(F.broadcast(largest), "kind", "left_anti").select("pos", "kind").unionByName(kept)
+
+
+def split_coverage(spark: SparkSession, sf_dir: str, ratio: float = 0.1):
+    """A tenth of all records for validation: one of each type of two rows or more first, the rest where most is lacking; no type is emptied."""
+    items = _items(spark, sf_dir).select("pos", "kind", "h")
+    everything = W.partitionBy(F.lit(0))
+    c = Q.group_counts(items, ["kind"]).withColumn("all", F.sum("n").over(everything))
+    c = c.withColumn("target", F.least(F.floor(F.col("all") * F.lit(ratio)), F.greatest(F.col("all") - 1, F.lit(0)))).withColumn("target", F.when((F.col("target") == 0) & (F.col("all") > 1), 1).otherwise(F.col("target")))
+    seed = F.md5(F.concat(F.lit("c2:"), "kind"))
+    order = F.row_number().over(everything.orderBy(F.when(F.col("n") >= 2, 0).otherwise(1), seed))
+    c = c.withColumn("one", ((F.col("n") >= 2) & (order <= F.col("target"))).cast("long"))
+    c = c.withColumn("left", F.col("target") - F.sum("one").over(everything)).withColumn("room", F.greatest(F.lit(0).cast("long"), F.col("n") - 1 - F.col("one")))
+    before = F.coalesce(F.sum("room").over(everything.orderBy(F.desc(F.col("n") * F.lit(ratio) - F.col("one")), seed).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    quotas = c.withColumn("quota", F.col("one") + F.greatest(F.lit(0).cast("long"), F.least(F.col("room"), F.col("left") - before)))
+    val = Q.take(items, quotas, ["kind"], "h", "pos").select("pos", F.lit("val").alias("side"))
+    return items.join(val, "pos", "left").select("pos", F.coalesce("side", F.lit("train")).alias("side"))
+
+
+def cap_per_group(spark: SparkSession, sf_dir: str):
+    """The 20 longest documents of each source, and all of two that are exempt."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("n_chars", F.lit(-1)).alias("n_chars"))
+    ranks = Q.group_counts(d, ["source"]).select("source", F.greatest(F.lit(0).cast("long"), F.col("n") - 20).alias("rank"))
+    # Only rows as long as the twentieth are ranked.
+    level = values_at_ranks(d, ["source"], "n_chars", ranks).select("source", F.col("value").alias("least"))
+    near = d.join(level, "source").where("n_chars >= least or source in ('run_log', 'subtitle_fix')")
+    exempt = F.col("source").isin("run_log", "subtitle_fix")
+    capped = near.where(~exempt).withColumn("rn", F.row_number().over(W.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))).where("rn <= 20")
+    return capped.select("doc_id", "source").unionByName(near.where(exempt).select("doc_id", "source"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        stratified, nested_stratified, two_level_balance, small_whole_quota, cell_downsample, shortfall_balance, type_nested_balance, shuffle_split, val_top_up, rebalance_binary, rebalance_three,
+        quota_overflow, round_robin_domains, largest_class, split_coverage, cap_per_group, stratified, nested_stratified, two_level_balance, small_whole_quota, cell_downsample, shortfall_balance, type_nested_balance, shuffle_split, val_top_up, rebalance_binary, rebalance_three,
         alternate, batch_order, remax,
     )
 }
@@ -206,6 +259,15 @@ _KC, _DC, _DD = "kc as (select kind, count(*) as n from i group by all)", "dc as
 _KL = "kl as (select kind, l1, count(*) as n from i group by all)"
 _R9 = "floor(({}) * 1e9 + 0.5e0) / 1e9"
 SQL = {
+    "quota_overflow": f"with i as (select doc_id, source, left(md5('s2:' || doc_id), 15) as h from documents where source is not null), dc as (select source, count(*) as n from i group by all), {_even('q', 'dc', '', 'source', '400')} " + _ranked("source", "q", "doc_id, source", "h, doc_id"),
+    "round_robin_domains": f"with {_I} select pos, kind from (select pos, kind, row_number() over (partition by kind order by h, pos) as rn from i where kind <> 'unknown') t order by rn, kind limit 120",
+    "largest_class": f"""with {_I}, {_KC}, b as (select kind, n // 2 as half from kc where kind <> 'unknown' order by n desc, kind limit 1), r as (select i.*, row_number() over (partition by kind, l1 order by h, pos) as rn from i where kind <> 'unknown'),
+s as (select *, row_number() over (partition by kind order by rn, l1, pos) as k from r) select pos, kind from s where kind <> (select kind from b) or k <= (select half from b)""",
+    "split_coverage": f"""with {_I}, {_KC}, a as (select kind, n, sum(n) over () as al, md5('c2:' || kind) as sd from kc), t as (select *, case when floor(al * 0.1e0) = 0 and al > 1 then 1 else least(floor(al * 0.1e0), greatest(al - 1, 0)) end as target from a),
+o as (select *, case when n >= 2 and row_number() over (order by case when n >= 2 then 0 else 1 end, sd) <= target then 1 else 0 end as one from t), r as (select *, target - sum(one) over () as lf, greatest(0, n - 1 - one) as room from o),
+q as (select kind, one + greatest(0, least(room, lf - coalesce(sum(room) over (order by n * 0.1e0 - one desc, sd rows between unbounded preceding and 1 preceding), 0))) as quota from r)
+select pos, case when row_number() over (partition by i.kind order by h, pos) <= quota then 'val' else 'train' end as side from i join q using (kind)""",
+    "cap_per_group": "select doc_id, coalesce(source, '') as source from (select doc_id, source, row_number() over (partition by source order by coalesce(n_chars, -1) desc, doc_id) as rn from documents) t where rn <= 20 or source in ('run_log', 'subtitle_fix')",
     "stratified": f"with {_I}, {_KC}, {_prop('q', 'kc', '', 'kind', '200')} " + _ranked("kind", "q", "pos, kind"),
     "nested_stratified": f"""with {_I}, {_KC}, {_prop('q', 'kc', '', 'kind', '300')}, {_KL}, kt as (select kl.*, q.quota as t from kl join q using (kind)), {_prop('f', 'kt', 'kind', 'l1', 't')},
 tk as (select kind, sum(quota) as took, sum(n) as n from f group by all), la as (select kind, least(n, 300 - (select sum(took) from tk) + took) as t from tk where kind = (select max(kind) from tk)),
