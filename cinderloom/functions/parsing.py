@@ -91,7 +91,7 @@ def clock_seconds(text: Column) -> Column:
 
 def clock_text(seconds: Column) -> Column:
     """Whole seconds as ``MM:SS``; minutes grow beyond 99."""
-    whole = F.floor(F.greatest(seconds, F.lit(0.0))).cast("long")
+    whole = F.when(seconds.isNotNull(), F.floor(F.greatest(seconds, F.lit(0.0))).cast("long"))
     minutes = F.floor(whole / 60).cast("string")
     return F.concat(F.when(F.length(minutes) < 2, F.concat(F.lit("0"), minutes)).otherwise(minutes), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
 

@@ -91,13 +91,13 @@ def values_at_ranks(rows: DataFrame, keys: list[str], value: str, ranks: DataFra
     return wanted.select(*keys, "rank").alias("a").join(numbered.alias("b"), same(["rank"])).select("a.*", F.col("b._v").alias("value"))
 
 
-def interpolated(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+def interpolated(rows: DataFrame, keys: list[str], value: str, shares: list[float], cells: int = 1024) -> DataFrame:
     """``keys, share, value``: exact percentiles of each group, with linear interpolation between neighbours."""
     sizes = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     spots = sizes.select(*keys, "_n", F.explode(F.array(*[F.lit(float(q)) for q in shares])).alias("share")).withColumn("_at", F.col("share") * (F.col("_n") - 1))
     spots = spots.withColumn("_lo", F.floor("_at")).withColumn("_hi", F.ceil("_at"))
     ranks = spots.select(*keys, F.explode(F.array("_lo", "_hi")).alias("rank")).distinct()
-    found = values_at_ranks(rows, keys, value, ranks)
+    found = values_at_ranks(rows, keys, value, ranks, cells)
     same = lambda side: [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col(f"a.{side}") == F.col("b.rank")]
     low = spots.alias("a").join(found.alias("b"), same("_lo")).select("a.*", F.col("b.value").alias("_x"))
     both = low.alias("a").join(found.alias("b"), same("_hi")).select("a.*", F.col("b.value").alias("_y"))

@@ -160,3 +160,31 @@ def length_balanced(df: DataFrame, keys: list[str], item: str, size: str, parts:
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, item, size]) + ", part int"
     return df.select(*keys, item, size).groupBy(*keys).applyInPandas(split, schema)
+
+
+def budgeted_batches(df: DataFrame, keys: list[str], item: str, size: str, budget: int, most: int = 1_000_000) -> DataFrame:
+    """``keys, item, size, part``: each group in the fewest balanced parts its total needs at ``budget`` a part, the part with the largest sum of
+    squares first. A group is one step's batch and is handled in one task; one of more than ``most`` rows is refused."""
+
+    def split(pdf):
+        import heapq
+
+        if len(pdf) > most:
+            raise ValueError(f"a batch of more than {most} rows")
+        rows = sorted(zip(pdf[size], pdf[item]), key=lambda t: (-t[0], t[1]))
+        parts = max(1, min(len(rows), -(-int(sum(n for n, _ in rows)) // budget)))
+        # Longest first onto the lightest part.
+        heap = [(0, k) for k in range(parts)]
+        squares, place = [0] * parts, {}
+        for n, it in rows:
+            total, k = heapq.heappop(heap)
+            place[it] = k
+            squares[k] += int(n) * int(n)
+            heapq.heappush(heap, (total + int(n), k))
+        rank = {k: r for r, k in enumerate(sorted(range(parts), key=lambda k: (-squares[k], k)))}
+        pdf["part"] = [rank[place[it]] for it in pdf[item]]
+        return pdf
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, item, size]) + ", part int"
+    return df.select(*keys, item, size).groupBy(*keys).applyInPandas(split, schema)

@@ -34,11 +34,6 @@ TEXT = {
     "content_semi": "select pos from records r where exists (select 1 from rollouts o where o.prompt = r.prompt and o.ground_truth = r.answer)",
     "blocklist_or_anti": "select doc_id from documents d where not exists (select 1 from annotations a where a.clip_key = d.clip_key) and not exists (select 1 from mix_targets m where m.source = d.source)",
     "containment_check": f"with {SOUND_E}, {LIVE_P} select e.row_id, case when p.id is null then 'missing_parent' when e.start_time < p.start_time or e.end_time > p.end_time then 'outside' else 'inside' end as state from evs e left join ph p on e.video_id = p.video_id and lower(trim(e.parent_phase_id)) = lower(trim(p.id))",
-    "overlap_best": f"""with {SOUND_E}, {SOUND_P}, pairs as (select e.row_id, p.row_id as phase_row, least(e.end_time, p.end_time) - greatest(e.start_time, p.start_time) as overlap, abs((e.start_time + e.end_time) / 2e0 - (p.start_time + p.end_time) / 2e0) as dist
-from evs e join phs p on e.video_id = p.video_id and e.start_time < p.end_time and p.start_time < e.end_time)
-select row_id, phase_row, {r9('overlap')} as overlap from (select *, row_number() over (partition by row_id order by overlap desc, dist, phase_row) as rk from pairs where overlap > 0) t where rk = 1""",
-    "nearest": f"""with {SOUND_E}, {SOUND_P}, pairs as (select e.row_id, p.row_id as phase_row, least(abs(e.start_time - p.start_time), abs(e.end_time - p.end_time)) as dist from evs e join phs p on e.video_id = p.video_id)
-select row_id, phase_row, {r9('dist')} as dist from (select *, row_number() over (partition by row_id order by dist, phase_row) as rk from pairs) t where rk = 1""",
     "taxonomy_lookup": "select d.doc_id, coalesce(a.domain_l2, 'uncategorized') as domain_l2 from documents d left join (select clip_key, max(domain_l2) as domain_l2 from annotations group by clip_key) a on d.clip_key = a.clip_key",
     "conflict_check": "select clip_key, count(*) as n, count(distinct clip_duration_sec) as n_durations, max(case when clip_duration_sec is null then 1 else 0 end) as has_null from annotations group by clip_key having count(*) > 1",
     "id_resolve": "select row_id, regexp_extract(lower(trim(from_id)), '^([a-z]+)[0-9]+$', 1) as kind, cast(nullif(regexp_extract(lower(trim(from_id)), '^[a-z]+([0-9]+)$', 1), '') as bigint) as num from causal_links",
