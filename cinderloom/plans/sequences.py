@@ -61,13 +61,16 @@ def length_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windowed_counts(spark, f"{sf_dir}/rollouts.parquet")
+    """Rows and mean reward per day and task, late rows and open days included."""
+    counts = windowed_counts(spark, f"{sf_dir}/rollouts.parquet")
+    return counts.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "problem_type", "n", _round(F.col("mean_reward")).alias("mean_reward"))
 
 
 _T = f"t as (select row_id, uid, reward, row_number() over (partition by uid order by row_id) as rn from rollouts where {_OK})"
 _M = f"m as (select problem_type, step, avg(reward) as x, row_number() over (partition by problem_type order by step) - 1 as k from rollouts where {_OK} group by problem_type, step)"
 QUERIES = {f.__name__: f for f in (discounted_return, ema_smooth, nms, dp_f1, f1_iou, length_balanced, stream_windowed_counts)}
 SQL = {
+    "stream_windowed_counts": f"select strftime(logged_at, '%Y-%m-%d') as day, problem_type, count(*) as n, {r9('avg(case when not isnan(reward) then reward end)')} as mean_reward from rollouts where logged_at is not null group by 1, 2",
     "discounted_return": f"with {_T} select a.row_id, {r9('sum(b.reward * pow(0.9e0, b.rn - a.rn))')} as ret from t a join t b on a.uid = b.uid and b.rn >= a.rn group by a.row_id",
     "ema_smooth": f"with {_M} select a.problem_type, a.step, {r9('sum(b.x * pow(0.9e0, a.k - b.k) * (case when b.k = 0 then 1e0 else 0.1e0 end))')} as ema from m a join m b on a.problem_type = b.problem_type and b.k <= a.k group by a.problem_type, a.step",
 }
