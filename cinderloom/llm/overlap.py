@@ -113,17 +113,20 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
-def file_pairs(files: DataFrame, configs: DataFrame) -> DataFrame:
-    """``eval_file, train_file`` of the same config, for the files of ``files(data_file)``."""
+def file_roles(files: DataFrame, configs: DataFrame) -> DataFrame:
+    """``data_file, val_configs, train_configs``: the configs each of ``files(data_file)`` is evaluation or training data of.
+
+    A file pairs with another where the one's val_configs and the other's train_configs meet, so no table of pairs of
+    files is made. There are as many configs as experiments, so the arrays stay short.
+    """
     placed = (
         files.select("data_file", F.explode(ancestors(F.col("data_file"))).alias("entry"))
         .join(config_entries(configs), "entry")
         .select("config_name", "role", "data_file")
         .distinct()
     )
-    val = placed.where("role = 'val'").select("config_name", F.col("data_file").alias("eval_file"))
-    train = placed.where("role = 'train'").select("config_name", F.col("data_file").alias("train_file"))
-    return val.join(train, "config_name").where("eval_file <> train_file").select("eval_file", "train_file").distinct()
+    of = lambda role: F.collect_set(F.when(F.col("role") == role, F.col("config_name")))
+    return placed.groupBy("data_file").agg(of("val").alias("val_configs"), of("train").alias("train_configs"))
 
 
 def common_words(bags: DataFrame, most: int = COMMON_WORDS) -> list[str]:
@@ -161,23 +164,18 @@ def signatures(bag: Column, common: list[str]) -> Column:
 
 
 def _linked(records: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The file pairs, the rows with their class ``k``, and the verified links ``video, a, b`` of an evaluation and a training class."""
+    """The files' roles, the rows with their class ``k``, and the verified links ``video, a, b`` of an evaluation and a training class."""
     spark = records.sparkSession
     ensure_checkpoint_dir(spark)
-    pairs = file_pairs(records.select("data_file").distinct(), configs).checkpoint()
-    roles = (
-        pairs.select(F.col("eval_file").alias("data_file"), F.lit(True).alias("e"), F.lit(False).alias("t"))
-        .unionByName(pairs.select(F.col("train_file").alias("data_file"), F.lit(False).alias("e"), F.lit(True).alias("t")))
-        .groupBy("data_file").agg(F.max("e").alias("is_eval"), F.max("t").alias("is_train"))
-        .checkpoint()
-    )
+    roles = file_roles(records.select("data_file").distinct(), configs).checkpoint()
+    sides = roles.select("data_file", (F.size("val_configs") > 0).alias("is_eval"), (F.size("train_configs") > 0).alias("is_train"))
     cell = F.floor(F.col("span_start") / F.lit(SPAN_SECONDS)).cast("long")
     around = F.explode(F.array(cell - 1, cell, cell + 1))
     # Generators instead of filters, which would be pushed down with all their expressions repeated.
     placed = (
         records.select("pos", "data_file", "prompt", F.explode(F.array_compact(F.array(record_clip(F.col("metadata"), F.col("videos"))))).alias("clip"))
         .select("pos", "data_file", "prompt", "clip.*")
-        .join(roles, "data_file")
+        .join(sides, "data_file")
         .withColumn("cell", cell)
     )
     shared = (
@@ -219,7 +217,7 @@ def _linked(records: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFram
         .where(_apart("xa", "xb", as_words) <= EDITS)
         .select("video", "a", "b")
     )
-    return pairs, rows, verified
+    return roles, rows, verified
 
 
 def split_overlaps(records: DataFrame, configs: DataFrame) -> DataFrame:
@@ -233,23 +231,35 @@ def split_overlaps(records: DataFrame, configs: DataFrame) -> DataFrame:
     meet through the video, the span's start to the nearest cells, and signatures, are verified exactly,
     and only then expand into pairs of records.
     """
-    pairs, rows, verified = _linked(records, configs)
+    roles, rows, verified = _linked(records, configs)
     members = lambda k, role: rows.where(f"is_{role}").select(
         "video", F.col("k").alias(k), F.col("pos").alias(f"{role}_pos"), F.col("data_file").alias(f"{role}_file")
     )
     return (
         verified.join(members("a", "eval"), ["video", "a"])
         .join(members("b", "train"), ["video", "b"])
-        .join(pairs, ["eval_file", "train_file"], "left_semi")
+        .join(_of_role(roles, "eval"), "eval_file")
+        .join(_of_role(roles, "train"), "train_file")
+        .where(_PAIRED)
         .select("eval_pos", "eval_file", "train_pos", "train_file")
     )
 
 
+_PAIRED = "eval_file <> train_file and arrays_overlap(eval_configs, train_configs)"
+
+
+def _of_role(roles: DataFrame, role: str) -> DataFrame:
+    return roles.select(F.col("data_file").alias(f"{role}_file"), F.col("val_configs" if role == "eval" else "train_configs").alias(f"{role}_configs"))
+
+
 def overlap_classes(records: DataFrame, configs: DataFrame) -> DataFrame:
     """``pos, data_file, is_eval, is_train, class_id, n_links``: the rows of ``split_overlaps`` in classes of copies of one clip and question,
     with the number of classes on the other side that theirs is linked to; its own counts if it lies on both."""
-    _, rows, verified = _linked(records, configs)
-    ends = verified.select("video", F.explode(F.array(F.struct(F.col("a").alias("k"), F.col("b").alias("other")), F.struct(F.col("b").alias("k"), F.col("a").alias("other")))).alias("l"))
+    roles, rows, verified = _linked(records, configs)
+    inside = lambda k, role: rows.where(f"is_{role}").select("video", F.col("k").alias(k), F.col("data_file").alias(f"{role}_file")).distinct()
+    met = verified.join(inside("a", "eval"), ["video", "a"]).join(inside("b", "train"), ["video", "b"])
+    met = met.join(_of_role(roles, "eval"), "eval_file").join(_of_role(roles, "train"), "train_file").where(_PAIRED).select("video", "a", "b").distinct()
+    ends = met.select("video", F.explode(F.array(F.struct(F.col("a").alias("k"), F.col("b").alias("other")), F.struct(F.col("b").alias("k"), F.col("a").alias("other")))).alias("l"))
     links = ends.select("video", "l.k", "l.other").distinct().groupBy("video", "k").agg(F.count(F.lit(1)).alias("n_links"))
     return rows.join(links, ["video", "k"]).select("pos", "data_file", "is_eval", "is_train", F.col("k").alias("class_id"), "n_links")
 
@@ -260,10 +270,11 @@ def overlap_counts(records: DataFrame, configs: DataFrame, source: Column) -> Da
     Rows shrink to one per class, file and source; linked classes meet, and sizes are multiplied.
     ``source`` is an expression over ``records``.
     """
-    pairs, rows, verified = _linked(records, configs)
+    roles, rows, verified = _linked(records, configs)
     known = records.select("pos", source.alias("source"))
     sized = lambda k, role, keys: rows.where(f"is_{role}").join(known, "pos").groupBy("video", F.col("k").alias(k), F.col("data_file").alias(f"{role}_file"), *keys).agg(F.count(F.lit(1)).alias(f"n_{role}"))
-    met = verified.join(sized("a", "eval", ["source"]), ["video", "a"]).join(sized("b", "train", []), ["video", "b"]).join(pairs, ["eval_file", "train_file"], "left_semi")
+    met = verified.join(sized("a", "eval", ["source"]), ["video", "a"]).join(sized("b", "train", []), ["video", "b"])
+    met = met.join(_of_role(roles, "eval"), "eval_file").join(_of_role(roles, "train"), "train_file").where(_PAIRED)
     # A class of evaluation records counts once however many training classes it meets.
     by_class = met.groupBy("video", "a", "eval_file", "source", "n_eval").agg(F.sum("n_train").alias("n_train"))
     return by_class.groupBy("eval_file", "source").agg(F.sum(F.col("n_eval") * F.col("n_train")).alias("n_pairs"), F.sum("n_eval").alias("n_eval_records"))

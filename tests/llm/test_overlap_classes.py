@@ -23,6 +23,11 @@ def test_counts_from_classes(spark):
     classes = {r.pos: r for r in overlap_classes(records, configs).collect()}
     ends = {r.eval_pos for r in pairs.collect()} | {r.train_pos for r in pairs.collect()}
     assert ends <= set(classes) and all(r.n_links > 0 for r in classes.values())
+    linked: dict = {}
+    for r in pairs.collect():
+        for one, other in ((r.eval_pos, r.train_pos), (r.train_pos, r.eval_pos)):
+            linked.setdefault(classes[one].class_id, set()).add(classes[other].class_id)
+    assert all(len(linked[r.class_id]) == r.n_links for r in classes.values())
     assert overlap_counts(records.limit(0), configs, F.lit("x")).count() == 0
     assert QUERIES["p4_report"](spark, SF).agg(F.sum("n_pairs")).first()[0] == pairs.count()
 
